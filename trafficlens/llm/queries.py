@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm.exact_dedup import exact_dedup
+from trafficlens.llm.language_id import identify
 from trafficlens.llm.mixing import mix
 from trafficlens.llm.simhash import simhash_dedup
+from trafficlens.llm.token_count import count_tokens
+from trafficlens.llm.url_filter import filter_urls, parse_rule
 from trafficlens.session import table
 
+TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+
 #: Parameters of the mixture: levels of the tree, target weights of its nodes, budget as a part of all tokens.
 MIX_DOMAINS = ("web", "forum", "reference")
 MIX_WEIGHTS = {
@@ -40,6 +48,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(
         table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, word_count(),
@@ -47,6 +59,15 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), [parse_rule(r) for r in RULES])
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = exact_dedup(table(spark, sf_dir, "documents"))
     return named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -54,7 +75,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_token_count": op3_token_count,
     "op4_mixture": op4_mixture,
+    "op5_url_filter": op5_url_filter,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
