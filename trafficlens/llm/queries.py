@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.embedding_dedup import embedding_dedup
 from trafficlens.llm.exact_dedup import exact_dedup
 from trafficlens.llm.language_id import identify
 from trafficlens.llm.mixing import mix
 from trafficlens.llm.simhash import simhash_dedup
+from trafficlens.llm.suffix_dedup import substring_dedup
 from trafficlens.llm.token_count import count_tokens
 from trafficlens.llm.url_filter import filter_urls, parse_rule
+from trafficlens.llm.util import checkpoint
+from trafficlens.llm.warc_fixity import RECORDS_PER_FILE, audit, lay_out, warc_record
 from trafficlens.session import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,6 +52,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -63,6 +76,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), [parse_rule(r) for r in RULES])
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
     return judged.select("doc_id", "held_out", "lang_pred", "score")
@@ -73,13 +90,44 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files of RECORDS_PER_FILE records, audited against a replica with damage in known places.
+
+    The replica lacks the records of pages whose id has an MD5 that begins with "07", and has one byte of the
+    records changed whose MD5 begins with "7". Every record comes back with what the audit says of it."""
+    pages = table(spark, sf_dir, "pages")
+    record = warc_record(F.col("url"), F.col("page_id"), F.col("html"))
+    mark = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    file = F.coalesce(F.floor(F.col("page_id") / F.lit(RECORDS_PER_FILE)), F.lit(-1)).cast("string")
+    laid = lay_out(
+        pages.select(
+            "page_id", file.alias("warc_file"), F.octet_length(record).cast("long").alias("warc_length"),
+            F.sha2(record, 256).alias("whole"), F.sha2(F.regexp_replace(record, "^WARC/1.0", "WARC/1.~"), 256).alias("broken"),
+            mark.alias("mark"),
+        ),
+        "warc_file", ["page_id", "whole"], "warc_length",
+    )
+    laid = checkpoint(laid)
+    at = ["warc_file", "warc_offset", "warc_length"]
+    primary = laid.select(*at, F.col("whole").alias("digest"))
+    damaged = F.when(F.col("mark").startswith("7"), F.col("broken")).otherwise(F.col("whole"))
+    replica = laid.where(~F.col("mark").startswith("07")).select(*at, damaged.alias("digest"))
+    found = audit(primary, replica).select(*at, "status")
+    return laid.join(found, at, "left").select(
+        "page_id", *at, F.col("whole").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_count": op3_token_count,
     "op4_mixture": op4_mixture,
     "op5_url_filter": op5_url_filter,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc_fixity": op9_warc_fixity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +138,19 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op9_warc_fixity": """
+        WITH r AS (
+            SELECT page_id, coalesce(CAST(page_id // 1000 AS VARCHAR), '-1') AS warc_file, md5(coalesce(CAST(page_id AS VARCHAR), '')) AS mark,
+                   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+                   || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(CAST(page_id AS VARCHAR), '')
+                   || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
+                   || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+            FROM pages),
+        h AS (SELECT *, strlen(rec) AS warc_length, sha256(rec) AS record_sha256 FROM r)
+        SELECT page_id, warc_file,
+               CAST(coalesce(sum(warc_length) OVER (PARTITION BY warc_file ORDER BY page_id, record_sha256
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS warc_offset,
+               warc_length, record_sha256,
+               CASE WHEN mark LIKE '07%' THEN 'missing' WHEN mark LIKE '7%' THEN 'corrupt' ELSE 'ok' END AS status
+        FROM h""",
 }
