@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.byte_bpe import digests_by_fold_column
 from trafficlens.llm.embedding_dedup import embedding_dedup
 from trafficlens.llm.exact_dedup import exact_dedup
 from trafficlens.llm.language_id import identify
@@ -20,6 +21,7 @@ from trafficlens.llm.util import checkpoint
 from trafficlens.llm.warc_fixity import RECORDS_PER_FILE, audit, lay_out, warc_record
 from trafficlens.session import table
 
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -118,6 +120,69 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests_by_fold_column(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
+def mixture_sql() -> str:
+    """The mixture of op4_mixture as SQL: the same tree, level by level, with one running sum for each leaf."""
+    levels = ["domain", "lang", "source"]
+
+    def weight(depth: int) -> str:
+        own = sorted((k, w) for k, w in MIX_WEIGHTS.items() if len(k) == depth)
+        cases = [f"WHEN {' AND '.join(f"{c} = '{v}'" for c, v in zip(levels, k))} THEN {w}" for k, w in own]
+        return f"CASE {' '.join(cases)} ELSE 1 END" if cases else "1"
+
+    ctes = [
+        f"""flat AS (
+            SELECT doc_id,
+                   CASE TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) % 3
+                        WHEN 0 THEN '{MIX_DOMAINS[0]}' WHEN 1 THEN '{MIX_DOMAINS[1]}' ELSE '{MIX_DOMAINS[2]}' END AS domain,
+                   coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS BIGINT) AS n_tokens
+            FROM documents)""",
+        "leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM flat GROUP BY ALL)",
+        f"b0 AS (SELECT CAST(floor(CAST(sum(tokens) AS BIGINT) * CAST({MIX_SHARE} AS DOUBLE)) AS DOUBLE) AS budget FROM leaves)",
+    ]
+    for d in (1, 2, 3):
+        node, parent = ", ".join(levels[:d]), ", ".join(levels[: d - 1])
+        by = f"PARTITION BY {parent}" if parent else ""
+        order = f"{by} ORDER BY cap / w, {levels[d - 1]}"
+        ctes += [
+            f"k{d} AS (SELECT {node}, CAST(sum(tokens) * {MIX_EPOCHS} AS BIGINT) AS cap, CAST({weight(d)} AS BIGINT) AS w FROM leaves GROUP BY {node})",
+            f"""f{d} AS (
+            SELECT k{d}.*, budget,
+                   (budget - CAST(coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) * w
+                   / CAST(sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS fair
+            FROM k{d} {f"JOIN b{d - 1} USING ({parent})" if parent else "CROSS JOIN b0"})""",
+            f"""b{d} AS (
+            SELECT {node}, CASE WHEN cap <= fair THEN CAST(cap AS DOUBLE) ELSE
+                   (budget - CAST(coalesce(sum(CASE WHEN cap <= fair THEN cap END) OVER ({by}), 0) AS DOUBLE)) * w
+                   / CAST(sum(CASE WHEN NOT cap <= fair THEN w END) OVER ({by}) AS DOUBLE) END AS budget
+            FROM f{d})""",
+        ]
+    ctes += [
+        f"""plan AS (
+            SELECT domain, lang, source, tokens AS leaf_tokens, CAST(floor(budget) AS BIGINT) AS leaf_budget,
+                   CASE WHEN tokens > 0 THEN least(CAST(floor(budget) AS BIGINT) // tokens, {MIX_EPOCHS}) ELSE 0 END AS epochs
+            FROM leaves JOIN b3 USING (domain, lang, source))""",
+        f"""run AS (
+            SELECT flat.*, leaf_tokens, leaf_budget, epochs,
+                   sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || epochs || ':' || doc_id), doc_id, n_tokens
+                                       ROWS UNBOUNDED PRECEDING) <= leaf_budget - epochs * leaf_tokens
+                   AND n_tokens > 0 AND epochs < {MIX_EPOCHS} AS in_last_epoch
+            FROM flat JOIN plan USING (domain, lang, source))""",
+    ]
+    return (
+        "WITH " + ",\n        ".join(ctes)
+        + """
+        SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget,
+               CAST(CASE WHEN n_tokens > 0 THEN epochs ELSE 0 END AS BIGINT) AS full_epochs, in_last_epoch,
+               CAST(CASE WHEN n_tokens > 0 THEN epochs ELSE 0 END + CAST(in_last_epoch AS INT) AS BIGINT) AS copies
+        FROM run"""
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -128,9 +193,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc_fixity": op9_warc_fixity,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixture": mixture_sql(),
     "op8_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
