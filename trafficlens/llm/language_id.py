@@ -6,7 +6,7 @@ algorithm; the probability of a text is the product over its words (runs of lett
 vocabulary's word mark in front). The best posterior under equal priors names the language.
 
 Piece probabilities are learned by expectation-maximisation. Words are counted over all training rows; the
-expectation runs on the driver over the `FIT_WORDS` most frequent of them, a fixed bound, and the model has at
+expectation runs on the driver over at most `FIT_WORDS` of them, the most frequent that were seen twice, a fixed bound, and the model has at
 most pieces x `MAX_LANGUAGES` numbers, so both stay bounded however large the corpus.
 """
 
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.util import most_frequent
+
 
 MARK = "▁"
 FIT_WORDS = 60_000
@@ -133,8 +135,8 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def fit(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (pieces x languages) from rows with a language."""
     counts = word_counts(docs.where(F.col(lang_col).isNotNull()), text_col, lang_col)
-    # Words of up to 64 letters, the most frequent first; the word itself breaks ties.
-    top = counts.where(F.length("word") <= 64).orderBy(F.desc("n"), "word", "lang").limit(FIT_WORDS).collect()
+    # Words of up to 64 letters, in a fixed order, so that the same corpus gives the same sums.
+    top = sorted(most_frequent(counts.where(F.length("word") <= 64), "n", FIT_WORDS).collect())
     langs = sorted({r["lang"] for r in top})
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGUAGES}")

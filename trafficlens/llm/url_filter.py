@@ -18,7 +18,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the unigram model and of the classifier's vocabulary: the most frequent, ties by name.
+from trafficlens.llm.util import checkpoint, most_frequent
+
+#: Entries of the unigram model and of the classifier's vocabulary: the most frequent that were seen twice or more.
 UNIGRAMS = 50_000
 FEATURES = 50_000
 LONGEST_WORD = 24
@@ -110,11 +112,8 @@ def unigrams(pages: DataFrame, html_col: str) -> dict[str, int]:
     """Counts of the most frequent words in the visible text of all pages."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^<>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    top = (
-        words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "word").limit(UNIGRAMS).collect()
-    )
-    return {r["word"]: r["n"] for r in top}
+    counts = words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in most_frequent(counts, "n", UNIGRAMS).collect()}
 
 
 def fit(labelled: DataFrame, counts: dict[str, int]) -> dict:
@@ -132,11 +131,10 @@ def fit(labelled: DataFrame, counts: dict[str, int]) -> dict:
 
     each = labelled.select("host", "path", "verdict").mapInPandas(run, "verdict string, token string, n long")
     by = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in VERDICTS]
-    table = each.groupBy("token").agg(*by)
-    # The empty token counts the urls themselves and comes first.
-    top = table.orderBy(F.col("token") != "", F.desc(F.col("allow") + F.col("block")), "token").limit(FEATURES + 1).collect()
-    urls = next(((r["allow"], r["block"]) for r in top if r["token"] == ""), (0, 0))
-    rows = [r for r in top if r["token"]]
+    table = checkpoint(each.groupBy("token").agg(*by, F.sum("n").alias("n")))
+    # The empty token counts the urls themselves.
+    urls = next(((r["allow"], r["block"]) for r in table.where("token = ''").collect()), (0, 0))
+    rows = sorted(most_frequent(table.where("token <> ''"), "n", FEATURES).collect())
     sums = [sum(r[v] for r in rows) + len(rows) + 1 for v in VERDICTS]
     return {
         "prior": [log((n + 1) / (sum(urls) + 2)) for n in urls],

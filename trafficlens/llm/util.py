@@ -50,3 +50,16 @@ def number_distinct(df: DataFrame, keys: list[str], name: str, buckets: int = 1
         "__r", F.row_number().over(Window.partitionBy("__b").orderBy(*keys))
     )
     return ranked.select(*keys, (F.col("__b") * F.lit(1 << 40) + F.col("__r")).alias(name), F.col("__n"))
+
+
+def most_frequent(counts: DataFrame, n: str, k: int) -> DataFrame:
+    """The rows of a table of counts with the largest counts, as many whole steps of the count as `k` rows hold.
+
+    Rows seen once are left out. No row is sorted or sent anywhere but the at most `k` that are kept: the smallest
+    count that stays is found in the histogram of counts.
+    """
+    seen = checkpoint(counts.where(F.col(n) > 1))
+    histogram = seen.groupBy(n).agg(F.count(F.lit(1)).alias("__rows"))
+    running = F.sum("__rows").over(Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    least = histogram.withColumn("__sum", running).where(F.col("__sum") <= k).agg(F.min(n)).first()[0]
+    return seen.where(F.col(n) >= F.lit(least)) if least is not None else seen.limit(0)
