@@ -12,9 +12,11 @@ most pieces x `MAX_LANGUAGES` numbers, so both stay bounded however large the co
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from math import log
+from operator import add, mul
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,9 @@ UNSEEN = 1e-7
 #: Added to each piece's expected count, so that a piece unseen in one language is rare there, not impossible.
 PRIOR = 0.05
 CACHE_WORDS = 200_000
+#: Words of up to so many letters can't get a probability that is too small for a double.
+PLAIN_LETTERS = 40
+TEXTS_AT_ONCE = 500
 COUNTED_WORDS = 300_000
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -62,8 +67,39 @@ class Segmenter:
         self.rows = [tuple(r) for r in probs.tolist()]
         self.n = probs.shape[1]
 
+    def log_probs(self, words: list[str]) -> list[list[float]]:
+        """log P(word) in each language, for words in sorted order: sums over a common prefix are made once."""
+        index, rows, longest = self.index, self.rows, self.longest
+        out, alpha, last = [], [[1.0] * self.n], ""
+        for word in words:
+            if len(word) > PLAIN_LETTERS:
+                out.append(self.log_prob(word))
+                continue
+            s = MARK + word
+            common = 0
+            for a, b in zip(s, last):
+                if a != b:
+                    break
+                common += 1
+            del alpha[common + 1 :]
+            for j in range(common + 1, len(s) + 1):
+                now = None
+                for i in range(max(0, j - longest), j):
+                    k = index.get(s[i:j])
+                    if k is not None:
+                        more = map(mul, alpha[i], rows[k])
+                    elif i == j - 1:
+                        more = [v * UNSEEN for v in alpha[i]]
+                    else:
+                        continue
+                    now = list(more) if now is None else list(map(add, now, more))
+                alpha.append(now)
+            last = s
+            out.append([log(v) if v > 0 else -800.0 for v in alpha[-1]])
+        return out
+
     def log_prob(self, word: str) -> list[float]:
-        """log P(word) in each language."""
+        """log P(word) in each language, of a word of any length."""
         s = MARK + word
         index, rows, langs = self.index, self.rows, range(self.n)
         alpha = [[1.0] * self.n]
@@ -113,20 +149,20 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, word, n) over all rows. Words are counted in each task before the shuffle, in tables of bounded size."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
 
-        def out() -> pd.DataFrame:
-            keys = list(counts)
-            return pd.DataFrame({"lang": [k[0] for k in keys], "word": [k[1] for k in keys], "n": list(counts.values())})
+        def out() -> Iterator[pd.DataFrame]:
+            for lang, own in counts.items():
+                yield pd.DataFrame({"lang": [lang] * len(own), "word": list(own), "n": list(own.values())})
+            counts.clear()
 
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"]):
-                for w, n in Counter(words_of(text)).items():
-                    counts[lang, w] += n
-                if len(counts) > COUNTED_WORDS:
-                    yield out()
-                    counts.clear()
-        yield out()
+                own = counts[lang]
+                own.update(words_of(text))
+                if len(own) > COUNTED_WORDS:
+                    yield from out()
+        yield from out()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return rows.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -172,25 +208,27 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], probs: np.ndar
             state.update(model=Segmenter(*shared.value), at={}, table=np.zeros((1024, len(names))))
         model, at = state["model"], state["at"]
         found, scores = [], []
-        for text in texts:
-            words = words_of(text)
-            if not words or not names:
-                found.append(UND)
-                scores.append(0.0)
-                continue
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            some = [words_of(t) if names else [] for t in texts.iloc[start : start + TEXTS_AT_ONCE]]
             if len(at) > CACHE_WORDS:
                 at.clear()
-            for w in set(words):
-                if w not in at:
-                    k = at[w] = len(at)
-                    if k >= len(state["table"]):
-                        state["table"] = np.concatenate([state["table"], np.zeros_like(state["table"])])
-                    state["table"][k] = model.log_prob(w)
-            total = state["table"][np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            odds = np.exp(total - total.max())
-            best = int(total.argmax())
-            found.append(names[best])
-            scores.append(float(odds[best] / odds.sum()))
+            new = sorted(set(chain.from_iterable(some)).difference(at))
+            first = len(at)
+            at.update(zip(new, range(first, first + len(new))))
+            if new:
+                while len(state["table"]) < len(at):
+                    state["table"] = np.concatenate([state["table"], np.zeros_like(state["table"])])
+                state["table"][first : len(at)] = model.log_probs(new)
+            for words in some:
+                if not words:
+                    found.append(UND)
+                    scores.append(0.0)
+                    continue
+                total = state["table"][np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                odds = np.exp(total - total.max())
+                best = int(total.argmax())
+                found.append(names[best])
+                scores.append(float(odds[best] / odds.sum()))
         return pd.DataFrame({"lang_pred": found, "score": scores})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
