@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm.byte_bpe import digests_by_fold_column
+from trafficlens.llm.byte_bpe import digests
 from trafficlens.llm.embedding_dedup import embedding_dedup
 from trafficlens.llm.exact_dedup import exact_dedup
 from trafficlens.llm.language_id import identify
@@ -121,7 +121,7 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests_by_fold_column(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
 def mixture_sql() -> str:
