@@ -153,7 +153,8 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         def out() -> Iterator[pd.DataFrame]:
             for lang, own in counts.items():
-                yield pd.DataFrame({"lang": [lang] * len(own), "word": list(own), "n": list(own.values())})
+                if own:
+                    yield pd.DataFrame({"lang": [lang] * len(own), "word": list(own), "n": list(own.values())})
             counts.clear()
 
         for frame in frames:
