@@ -26,8 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trafficlens.llm.util import partitions, text_bytes
 
@@ -237,17 +239,29 @@ def repeated_windows(groups: list[list[bytes]], window: int = WINDOW) -> list[np
 # ---- Spark ---------------------------------------------------------------------------------------------------
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form: they are moved once and read three times."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([press(t.as_py()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["id", "tx", "text"])
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return (expand(t.as_py()) for t in column)
+
+
 def _find_runs(window: int):
+    """Two arrays for each text: the anchors of its runs, and first window, length and weight packed in one number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for batch in batches:
-            found = [runs_of(t.as_py(), window) for t in batch.column(2)]
-            columns = []
-            for k in range(4):
-                cuts = np.r_[0, np.cumsum([len(f[k]) for f in found])].astype(np.int32)
-                values = np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
-                columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(values)).cast(kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *columns], ["id", "tx", "copied", "key", "first", "last", "weight"])
+            found = [runs_of(t, window) for t in _texts(batch.column(2))]
+            packed = [(key, first << 21 | (last - first) << 1 | (weight - 1)) for key, first, last, weight in found]
+            cuts = np.r_[0, np.cumsum([len(k) for k, _ in packed])].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([p[k] for p in packed]))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *lists], ["id", "tx", "copied", "key", "at"])
 
     return run
 
@@ -259,6 +273,7 @@ def _cut_segments(window: int):
         for batch in batches:
             ids, txs, texts, copied, runs = (batch.column(k) for k in range(5))
             wanted = runs.to_pylist()
+            raw = _texts(texts)
             keys, rows, firsts, segments, times = [], [], [], [], []
             size = 0
 
@@ -273,9 +288,10 @@ def _cut_segments(window: int):
                 return made
 
             for r in range(batch.num_rows):
-                text, n = texts[r].as_py(), 2 if copied[r].as_py() else 1
-                for one in wanted[r]:
-                    a, b = one["first"], one["last"]
+                text, n = next(raw), 2 if copied[r].as_py() else 1
+                for one in wanted[r] or []:
+                    a = one["at"] >> 21
+                    b = a + (one["at"] >> 1 & CHUNK - 1)
                     if one["hot"]:
                         for p in range(a, b + 1):
                             d = xxhash.xxh3_128_digest(text[p : p + window])
@@ -401,8 +417,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, whole, stretches = (batch.column(k) for k in range(4))
         sizes, spans, kept = [], [], []
-        for text, all_of_it, found in zip(texts, whole.to_pylist(), stretches.to_pylist()):
-            text = text.as_py()
+        for text, all_of_it, found in zip(_texts(texts), whole.to_pylist(), stretches.to_pylist()):
             merged: list[list[int]] = [[0, len(text)]] if all_of_it else []
             for x in sorted((f["start"], f["stop"]) for f in found or []) if not all_of_it else []:
                 if merged and x[0] <= merged[-1][1]:
@@ -443,19 +458,20 @@ def substring_dedup(
     digests = rows.where(F.octet_length("text") >= window).select("id", "tx", F.unhex(F.sha2("text", 256)).alias("sha"))
     groups = digests.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1")
     copies = digests.join(groups, "sha").groupBy("id", "tx").agg(F.max(F.col("id") == F.col("rep")).alias("is_rep"))
-    spread = rows.repartition(n, "id", "tx").join(copies, ["id", "tx"], "left")
+    # One exchange of texts serves the runs, the segments and the removal: no filter may come between.
+    squeezed = rows.mapInArrow(_squeeze, f"id {kind}, tx long, text binary")
+    spread = squeezed.repartition(n, "id", "tx").join(copies, ["id", "tx"], "left")
     own = spread.where(F.coalesce("is_rep", F.lit(True))).select("id", "tx", "text", F.col("is_rep").isNotNull().alias("copied"))
 
-    listed = own.where(F.octet_length("text") >= window).mapInArrow(
-        _find_runs(window),
-        f"id {kind}, tx long, copied boolean, key array<long>, first array<long>, last array<long>, weight array<long>",
-    )
-    runs = listed.select("id", "tx", "copied", F.explode(F.arrays_zip("key", "first", "last", "weight")).alias("r"))
-    runs = runs.select("id", "tx", "r.key", "r.first", "r.last", F.when(F.col("copied"), 2).otherwise(F.col("r.weight")).alias("weight"))
-    anchors_ = runs.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key", (F.col("n") > hot_runs).alias("hot"))
-    wanted = runs.join(anchors_, "key").groupBy("id", "tx").agg(F.collect_list(F.struct("key", "first", "last", "hot")).alias("runs"))
+    listed = own.mapInArrow(_find_runs(window), f"id {kind}, tx long, copied boolean, key array<long>, at array<long>")
+    runs = listed.select("id", "tx", "copied", F.explode(F.arrays_zip("key", "at")).alias("r"))
+    weight = F.when(F.col("copied"), 2).otherwise(F.col("at").bitwiseAND(F.lit(1)) + 1)
+    # A text has a run for each hundred bytes or so, so even an anchor that all texts share has few of all runs.
+    counted = runs.select("id", "tx", "copied", "r.key", "r.at").withColumn("n", F.sum(weight).over(Window.partitionBy("key")))
+    several = counted.where("n > 1").withColumn("hot", F.col("n") > hot_runs)
+    wanted = several.groupBy("id", "tx").agg(F.collect_list(F.struct("key", "at", "hot")).alias("runs"))
 
-    cut = own.join(wanted, ["id", "tx"]).select("id", "tx", "text", "copied", "runs")
+    cut = own.join(wanted, ["id", "tx"], "left").select("id", "tx", "text", "copied", "runs")
     segments = cut.mapInArrow(_cut_segments(window), f"key long, id {kind}, tx long, first long, segment binary, times int")
     dealt = segments.repartition(n, "key").sortWithinPartitions("key", "segment")
     found = dealt.mapInArrow(_find_repeats(window, shard_bytes), f"id {kind}, tx long, start long, stop long")
