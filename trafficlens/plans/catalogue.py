@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from trafficlens.plans import traffic, upkeep  # noqa: F401
+
+
+_load()
