@@ -15,17 +15,17 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 300_000
 KNOWN_LENGTH = 64
 SHORT = 48
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=4)
@@ -35,6 +35,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> dict[int, bytes]:
+    return {rank: piece for piece, rank in load_ranks(path).items()}
+
+
 # ---- the fold as a Spark expression ---------------------------------------------------------------------------
 
 _SLOTS = 1 << 18
@@ -117,19 +122,20 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(word) > SHORT:
         return _fold_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    near = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-    while True:
-        least = min((r for r in near if r is not None), default=None)
-        if least is None:
-            return [ranks[p] for p in parts]
+    rank, none = ranks.get, len(ranks) + 1
+    cuts = list(range(len(word) + 1))  # where parts begin, and the word's end
+    near = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]  # ranks of adjacent pairs
+    while near:
+        least = min(near)
+        if least == none:
+            break
         i = near.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del near[i]
+        del near[i], cuts[i + 1]
         if i:
-            near[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            near[i - 1] = rank(word[cuts[i - 1] : cuts[i + 1]], none)
         if i < len(near):
-            near[i] = ranks.get(parts[i] + parts[i + 1])
+            near[i] = rank(word[cuts[i] : cuts[i + 2]], none)
+    return [ranks[word[i:j]] for i, j in zip(cuts, cuts[1:])]
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -157,22 +163,35 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token to ids, as far as known; others are folded when they are asked for."""
+    """Pre-token to ids (as 32-bit numbers in bytes), as far as known; others are folded when they are asked for.
+
+    Known words are kept in two generations: when the young one is full it becomes the old one, and words that are
+    still in use come back from there. So the table is bounded, and frequent words stay in it."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
         self.ranks, self.find = load_ranks(path), regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = fold(word.encode("utf-8"), self.ranks)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(fold(word.encode("utf-8"), self.ranks), np.int32).tobytes()
         if len(word) <= KNOWN_LENGTH:
             if len(self) >= KNOWN_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
-    def ids(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text)))) if text else []
+    def ids(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text))) if text else b""
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """The encoder of this worker process, which lives on from task to task."""
+    return Encoder(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,24 +203,24 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = _encoder(path, pattern)
         for batch in batches:
-            rows, out, size = [], [], 0
+            first, out, size = 0, [], 0
             for r, text in enumerate(batch.column(1)):
-                rows.append(r)
                 out.append(encoder.ids(text.as_py()))
                 size += len(out[-1])
-                if size > BATCH_CHARS:
-                    yield _encoded(batch, rows, out)
-                    rows, out, size = [], [], 0
-            yield _encoded(batch, rows, out)
+                if size > BATCH_BYTES:
+                    yield _encoded(batch, first, out)
+                    first, out, size = r + 1, [], 0
+            yield _encoded(batch, first, out)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def _encoded(batch: pa.RecordBatch, rows: list[int], out: list[list[int]]) -> pa.RecordBatch:
-    ids = batch.column(0).take(pa.array(rows, pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+def _encoded(batch: pa.RecordBatch, first: int, out: list[bytes]) -> pa.RecordBatch:
+    ends = np.r_[0, np.cumsum([len(x) // 4 for x in out])].astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+    return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), ids], ["id", "ids"])
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -209,8 +228,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     @F.arrow_udf("binary")
     def pieces(ids: pa.Array) -> pa.Array:
-        table = {rank: piece for piece, rank in load_ranks(path).items()}
-        return pa.array([None if x is None else b"".join(map(table.__getitem__, x)) for x in ids.to_pylist()], pa.binary())
+        piece = _pieces(path).__getitem__
+        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        known = ids.is_valid().to_pylist()
+        # Row by row: the ids of a whole batch as Python numbers would take ten times their own size.
+        rows = (b"".join(map(piece, flat[a:b].tolist())) if k else None for k, a, b in zip(known, ends[:-1], ends[1:]))
+        return pa.array(list(rows), pa.binary())
 
     return encoded.withColumn(out_col, pieces(F.col(ids_col)))
 
