@@ -90,15 +90,18 @@ def shard_of_hash(key64: Column, shards: int = SHARDS) -> Column:
     return F.pmod(key64, F.lit(shards)).cast("int")
 
 
-@F.pandas_udf("key64 long, fingerprint binary")
-def xxh3(keys: pd.Series) -> pd.DataFrame:
-    """XXH3 of a canonical key: 64 bits as key, 128 bits (low half first, little-endian) as fingerprint."""
-    import xxhash
-
-    rows = []
-    for k in keys:
-        data = k.encode("utf-8") if isinstance(k, str) else bytes(k or b"")
-        wide = xxhash.xxh3_128_intdigest(data)
-        low = xxhash.xxh3_64_intdigest(data)
-        rows.append((low - (1 << 64) if low >> 63 else low, wide.to_bytes(16, "little")))
-    return pd.DataFrame(rows, columns=["key64", "fingerprint"])
+def xxh3(key: Column | str) -> Column:
+    """XXH3 of a canonical key as (key64, fingerprint): 64 bits, and 128 bits with the low half first, little-endian."""
+
+    @F.pandas_udf("key64 long, fingerprint binary")
+    def hashed(keys: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        rows = []
+        for k in keys:
+            data = k.encode("utf-8") if isinstance(k, str) else bytes(k or b"")
+            low = xxhash.xxh3_64_intdigest(data)
+            rows.append((low - (1 << 64) if low >> 63 else low, xxhash.xxh3_128_intdigest(data).to_bytes(16, "little")))
+        return pd.DataFrame(rows, columns=["key64", "fingerprint"])
+
+    return hashed(key)
