@@ -281,3 +281,39 @@ def test_hit_rate_of_nothing(spark):
     df = spark.createDataFrame([(0, 0, 0, 0)], "hits long, misses long, errors long, proxied long")
     r = metrics.error_rate(metrics.hit_rate(df)).first()
     assert r["hit_rate"] == 0 and r["error_rate"] == 0
+
+
+def test_clear_tokens(spark):
+    from trafficlens.operators import control
+
+    rows = [(1, 1, 0, None), (1, 2, 10, None), (1, 3, 20, "t1"), (1, 4, 30, "t1"), (1, 5, 40, None), (1, 6, 50, "bad"), (1, 7, 60, "t5"), (1, 8, 70, None), (1, 9, 70 + 300, "t8"), (1, 10, 400, None), (1, 11, 699, None), (1, 12, 700, None), (2, 13, 5, "t1")]
+    df = spark.createDataFrame(rows, "instance int, req_id long, at long, token string")
+    got = {r["req_id"]: (r["answer"], r["token"]) for r in control.clear_requests(df).collect()}
+    assert [got[i][0] for i in range(1, 14)] == ["issued", "reused", "cleared", "refused", "issued", "refused", "refused", "issued", "refused", "issued", "reused", "issued", "refused"]
+    assert got[2][1] == "t1" and got[11][1] == "t10" and got[12][1] == "t12"
+
+
+def test_replay_without_limit_is_the_plain_storage(spark):
+    from trafficlens.operators import control
+
+    r = random.Random(4)
+    rows = [(i, at(i), r.choice("abcdefghij"), 0, r.randint(10, 40), r.random() < 0.8) for i in range(400)]
+    df = spark.createDataFrame(rows, "req_id long, ts timestamp_ntz, key string, shard int, weight long, stored boolean")
+    free = {x["req_id"]: x for x in control.replay_shards(df, 10**9).collect()}
+    seen = set()
+    for i, _, key, _, _, stored in rows:
+        assert free[i]["outcome"] == ("hit" if key in seen else "insert" if stored else "miss")
+        seen |= {key} if stored else set()
+    tight = {x["req_id"]: x for x in control.replay_shards(df, 120, 86_400).collect()}
+    assert all(x["mem"] <= 120 for x in tight.values())
+    assert sum(x["outcome"] == "hit" for x in tight.values()) < sum(x["outcome"] == "hit" for x in free.values())
+    assert {"rejected", "insert", "hit", "miss"} == {x["outcome"] for x in tight.values()} and any(x["evicted"] for x in tight.values())
+    assert {x["outcome"] for x in control.replay_shards(df, 5).collect()} == {"rejected", "miss"}
+
+
+def test_sources_by_settings(spark):
+    from trafficlens.operators import control
+
+    a, b = spark.range(2), spark.range(3)
+    assert control.loaded(a, b, True, True, True).count() == 5 and control.loaded(a, b, True, False, True).count() == 3
+    assert control.loaded(a, b, False, True, True) is None and control.loaded(None, b, True, True, False) is None

@@ -31,8 +31,8 @@ TRANSLATORS = {"am_ET": "aa_ET", "aa_ET": "aa_ET", "ku_TR": "ne_NP", "ku_GE": "z
 TRANSLATOR_ALIASES = {"tj_TJ": "tg_TJ", "uz_Latn": "uz_UZ", "uz_Latn_UZ": "uz_UZ"}
 # Countries of language codes that are not the region of the code's locale.
 COUNTRIES = {"am": "tr", "ku": "tr", "zu": "tr", "te": "in", "er": "cn", "sp": "rs"}
-# Countries beyond those of ISO 3166, and those of it that are not listed.
-MORE_COUNTRIES = "ab ac nn tp eu uk fx xk an nt nf os ss su yu zr fk dg ic ea cp ta"
+# Country codes beyond those of ISO 3166.
+MORE_COUNTRIES = "ab ac an cs en gv nn os su tp uk xk yu"
 
 
 def _pairs() -> list[tuple[str, str]]:

@@ -2,29 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trafficlens.plans import extras, traffic, upkeep  # noqa: F401  they register their queries
+from trafficlens.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query; `sql` is its equivalent over the same tables."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def _load() -> None:
-    """Import the modules that register queries."""
-    from trafficlens.plans import traffic, upkeep  # noqa: F401
-
-
-_load()
+__all__ = ["ORACLE_SQL", "QUERIES"]

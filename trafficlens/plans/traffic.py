@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from trafficlens.functions import keys, scalars
 from trafficlens.operators import health, metrics, policy, storage
 from trafficlens.plans.base_sql import LATEST, OUTCOMES, REQUESTS, SHARD, window_sql
-from trafficlens.plans.catalogue import query
+from trafficlens.plans.registry import query
 from trafficlens.session import table
 from trafficlens.sources import requests
 from trafficlens.sources.config import EVENTS_CONFIG

@@ -10,7 +10,7 @@ from trafficlens.functions import scalars
 from trafficlens.operators import health, locales, refresh
 from trafficlens.plans import traffic
 from trafficlens.plans.base_sql import LATEST, REQUESTS, window_sql
-from trafficlens.plans.catalogue import query
+from trafficlens.plans.registry import query
 from trafficlens.session import table
 from trafficlens.sources import requests, snapshot
 from trafficlens.sources.config import EVENTS_CONFIG
