@@ -35,7 +35,7 @@ from trafficlens.llm.util import partitions, text_bytes
 
 WINDOW = 200
 GRAM = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 HOT_RUNS = 1 << 14
 LANES = 4096
 CHUNK = 1 << 20
