@@ -258,3 +258,10 @@ def test_reading_warc_files(spark, tmp_path):
     b = sorted((r["warc_offset"], bytes(r["record"])) for r in got if r["warc_file"].endswith("b.warc"))
     assert b"".join(x for _, x in b) == made[0] + b"garbage" + made[1][:30]
     assert not [r for r in got if r["warc_file"].endswith("c.warc")]
+
+
+def test_decode_by_itself(spark):
+    df = spark.createDataFrame([(1, [0, 50255, 262]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    ranks = {v: k for k, v in byte_bpe.load_ranks(RANKS).items()}
+    got = {r["doc_id"]: r["decoded"] for r in byte_bpe.decode(df, RANKS).collect()}
+    assert bytes(got[1]) == ranks[0] + ranks[50255] + ranks[262] and bytes(got[2]) == b"" and got[3] is None

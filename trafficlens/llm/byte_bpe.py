@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 KNOWN_LENGTH = 64
 SHORT = 48
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=4)
@@ -194,14 +194,23 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): the token ids of each row's whole text.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>): the token ids of each row's whole text. With `decoded` also the bytes that the ids stand
+    for, decoded from them in the same pass, so that one set of Python workers does both.
 
     Null and empty texts have no ids. Repeated rows are encoded each; other columns are ignored; an empty table
     gives an empty result. `path` must be readable on every executor.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def made(batch: pa.RecordBatch, first: int, out: list[bytes]) -> pa.RecordBatch:
+        ends = np.r_[0, np.cumsum([len(x) // 4 for x in out])].astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+        columns = {"id": batch.column(0).slice(first, len(out)), "ids": ids}
+        if decoded:
+            columns["decoded"] = _decoded(ids, path)
+        return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
         for batch in batches:
@@ -210,17 +219,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 out.append(encoder.ids(text.as_py()))
                 size += len(out[-1])
                 if size > BATCH_BYTES:
-                    yield _encoded(batch, first, out)
+                    yield made(batch, first, out)
                     first, out, size = r + 1, [], 0
-            yield _encoded(batch, first, out)
+            yield made(batch, first, out)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _encoded(batch: pa.RecordBatch, first: int, out: list[bytes]) -> pa.RecordBatch:
-    ends = np.r_[0, np.cumsum([len(x) // 4 for x in out])].astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
-    return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), ids], ["id", "ids"])
+def _decoded(ids: pa.Array, path: str) -> pa.Array:
+    """The bytes of each list of ids. Row by row: the ids of a whole batch as Python numbers take ten times their size."""
+    piece = _pieces(path).__getitem__
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    known = ids.is_valid().to_pylist()
+    return pa.array([b"".join(map(piece, flat[a:b].tolist())) if k else None for k, a, b in zip(known, ends[:-1], ends[1:])], pa.binary())
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -228,19 +240,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     @F.arrow_udf("binary")
     def pieces(ids: pa.Array) -> pa.Array:
-        piece = _pieces(path).__getitem__
-        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        known = ids.is_valid().to_pylist()
-        # Row by row: the ids of a whole batch as Python numbers would take ten times their own size.
-        rows = (b"".join(map(piece, flat[a:b].tolist())) if k else None for k, a, b in zip(known, ends[:-1], ends[1:]))
-        return pa.array(list(rows), pa.binary())
+        return _decoded(ids, path)
 
     return encoded.withColumn(out_col, pieces(F.col(ids_col)))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode whole texts: id, n_tokens, ids_sha256 (of the decimal ids, joined by spaces), decoded_sha256."""
-    both = decode(encode(docs, path, pattern, id_col, text_col), path)
+    both = encode(docs, path, pattern, id_col, text_col, decoded=True)
     return both.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
