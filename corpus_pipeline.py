@@ -61,9 +61,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document's whole text, and digests that show that they decode to it."""
-    encoded = byte_bpe.encode(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, public_tokenizers.path(BYTE_RANKS))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = byte_bpe.encode(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
