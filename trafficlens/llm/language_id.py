@@ -36,11 +36,11 @@ UND = "und"
 UNSEEN = 1e-7
 #: Added to each piece's expected count, so that a piece unseen in one language is rare there, not impossible.
 PRIOR = 0.05
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Words of up to so many letters can't get a probability that is too small for a double.
 PLAIN_LETTERS = 40
-TEXTS_AT_ONCE = 500
-COUNTED_WORDS = 300_000
+TEXTS_AT_ONCE = 1000
+COUNTED_WORDS = 200_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -63,13 +63,16 @@ class Segmenter:
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.index = {p: k for k, p in enumerate(pieces)}
         self.longest = max(map(len, pieces))
+        # Every end of a piece, with the piece's number if it is one itself: where a string is no end of any, no longer
+        # string that ends in the same place can be a piece.
+        self.ends = dict.fromkeys((p[i:] for p in pieces for i in range(len(p))), -1) | self.index
         self.probs = probs  # pieces x languages
         self.rows = [tuple(r) for r in probs.tolist()]
         self.n = probs.shape[1]
 
     def log_probs(self, words: list[str]) -> list[list[float]]:
         """log P(word) in each language, for words in sorted order: sums over a common prefix are made once."""
-        index, rows, longest = self.index, self.rows, self.longest
+        ends, rows = self.ends, self.rows
         out, alpha, last = [], [[1.0] * self.n], ""
         for word in words:
             if len(word) > PLAIN_LETTERS:
@@ -84,15 +87,19 @@ class Segmenter:
             del alpha[common + 1 :]
             for j in range(common + 1, len(s) + 1):
                 now = None
-                for i in range(max(0, j - longest), j):
-                    k = index.get(s[i:j])
-                    if k is not None:
+                for i in range(j - 1, -1, -1):
+                    k = ends.get(s[i:j])
+                    if k is not None and k >= 0:
                         more = map(mul, alpha[i], rows[k])
                     elif i == j - 1:
                         more = [v * UNSEEN for v in alpha[i]]
+                    elif k is None:
+                        break
                     else:
                         continue
                     now = list(more) if now is None else list(map(add, now, more))
+                    if k is None:
+                        break
                 alpha.append(now)
             last = s
             out.append([log(v) if v > 0 else -800.0 for v in alpha[-1]])
@@ -145,6 +152,44 @@ class Segmenter:
                 into[k] += w * alpha[i] * self.probs[k] * beta[j]
 
 
+class _Known:
+    """log P of the words a worker has met, in two generations: when the young one is full it becomes the old one, and
+    words that are still in use come back from there. Lives on from task to task."""
+
+    def __init__(self, model: tuple[list[str], np.ndarray]):
+        self.model, self.segmenter = model, Segmenter(*model)
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((2 * CACHE_WORDS, self.segmenter.n))
+        self.old: dict[str, int] = {}
+        self.old_table = self.table[:0]
+
+    def learn(self, words: set[str]) -> None:
+        """Make all these words known."""
+        if len(self.at) > CACHE_WORDS:
+            self.old, self.old_table = self.at, self.table[: len(self.at)].copy()
+            self.at = {}
+        new = sorted(words.difference(self.at))
+        first = len(self.at)
+        self.at.update(zip(new, range(first, first + len(new))))
+        while len(self.table) < len(self.at):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        fresh = [w for w in new if w not in self.old]
+        if len(fresh) < len(new):
+            back = [w for w in new if w in self.old]
+            self.table[[self.at[w] for w in back]] = self.old_table[[self.old[w] for w in back]]
+        if fresh:
+            self.table[[self.at[w] for w in fresh]] = self.segmenter.log_probs(fresh)
+
+
+_latest: list[_Known] = []
+
+
+def _known(model: tuple[list[str], np.ndarray]) -> _Known:
+    if not _latest or _latest[0].model is not model:
+        _latest[:] = [_Known(model)]
+    return _latest[0]
+
+
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, word, n) over all rows. Words are counted in each task before the shuffle, in tables of bounded size."""
 
@@ -159,9 +204,8 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"]):
-                own = counts[lang]
-                own.update(words_of(text))
-                if len(own) > COUNTED_WORDS:
+                counts[lang].update(words_of(text))
+                if sum(map(len, counts.values())) > COUNTED_WORDS:
                     yield from out()
         yield from out()
 
@@ -201,31 +245,20 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], probs: np.ndar
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((pieces, probs))  # pieces x at most MAX_LANGUAGES numbers
     names = list(langs)
-    state: dict = {}
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        if not state:
-            state.update(model=Segmenter(*shared.value), at={}, table=np.zeros((1024, len(names))))
-        model, at = state["model"], state["at"]
+        known = _known(shared.value)
         found, scores = [], []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             some = [words_of(t) if names else [] for t in texts.iloc[start : start + TEXTS_AT_ONCE]]
-            if len(at) > CACHE_WORDS:
-                at.clear()
-            new = sorted(set(chain.from_iterable(some)).difference(at))
-            first = len(at)
-            at.update(zip(new, range(first, first + len(new))))
-            if new:
-                while len(state["table"]) < len(at):
-                    state["table"] = np.concatenate([state["table"], np.zeros_like(state["table"])])
-                state["table"][first : len(at)] = model.log_probs(new)
+            known.learn(set(chain.from_iterable(some)))
             for words in some:
                 if not words:
                     found.append(UND)
                     scores.append(0.0)
                     continue
-                total = state["table"][np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                total = known.table[np.fromiter(map(known.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 odds = np.exp(total - total.max())
                 best = int(total.argmax())
                 found.append(names[best])
