@@ -17,7 +17,22 @@ from trafficlens.sources import requests
 CAPACITIES = (1, 2, 4, 8, 16)
 
 
-@query("clear_token")
+@query("clear_token", f"""
+    WITH RECURSIVE {REQUESTS},
+    ev AS (SELECT client % 10 AS instance, req_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
+                  CASE duration % 3 WHEN 1 THEN 't' || (req_id - duration % 7) WHEN 2 THEN 'wrong' END AS asked FROM req WHERE path = '/signup'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY sec, req_id) AS i FROM ev),
+    fold AS (
+        SELECT DISTINCT instance, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS req_id, '' AS token, CAST(0 AS BIGINT) AS expires, '' AS answer, '' AS shown FROM ev
+        UNION ALL
+        SELECT o.instance, o.i, o.req_id,
+               CASE WHEN asked IS NOT NULL THEN '' WHEN token <> '' AND sec < expires THEN token ELSE 't' || o.req_id END,
+               CASE WHEN asked IS NOT NULL THEN 0 WHEN token <> '' AND sec < expires THEN expires ELSE sec + 300 END,
+               CASE WHEN asked IS NULL THEN CASE WHEN token <> '' AND sec < expires THEN 'reused' ELSE 'issued' END
+                    WHEN token <> '' AND sec < expires AND asked = token THEN 'cleared' ELSE 'refused' END,
+               coalesce(asked, CASE WHEN token <> '' AND sec < expires THEN token ELSE 't' || o.req_id END)
+        FROM fold f JOIN o ON o.instance = f.instance AND o.i = f.i + 1)
+    SELECT instance, req_id, answer, shown AS token FROM fold WHERE i > 0""")
 def clear_token(spark, sf_dir):
     """Requests to clear the storage: clients of one instance ask for tokens, use them, and use wrong ones."""
     log = traffic.log(spark, sf_dir).where("path = '/signup'")

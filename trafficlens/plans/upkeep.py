@@ -164,13 +164,46 @@ def _ticks(spark, sf_dir):
     return probes.unionByName(windows)
 
 
-@query("health_fsm")
+_FSM = """
+    WITH RECURSIVE ev AS (SELECT CAST(user_id % 8 AS VARCHAR) AS backend, ts, event_type, value FROM events),
+    raw AS (
+        SELECT backend, CAST(floor(epoch(ts)) AS BIGINT) AS sec, 1 AS turn, value > CASE WHEN backend IN ('0', '1') THEN 60 ELSE 2 END AS ok,
+               CAST(0 AS BIGINT) AS total, CAST(0 AS DOUBLE) AS rate FROM ev
+        UNION ALL
+        SELECT backend, (CAST(floor(epoch(ts) / 432000) AS BIGINT) + 1) * 432000, 0, NULL, count(*), CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*)
+        FROM ev GROUP BY 1, 2),
+    ticks AS (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY sec, turn, ok NULLS FIRST, total, rate) AS i FROM raw),
+    fold AS (
+        SELECT DISTINCT backend, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS sec, 'healthy' AS state, 0 AS throttles, 0 AS suc, 0 AS err,
+               CAST(0 AS BIGINT) AS sicked, CAST(0 AS BIGINT) AS killed, CAST(NULL AS VARCHAR) AS move FROM raw
+        UNION ALL
+        SELECT backend, i, sec,
+               CASE WHEN m IN ('quarantine', 'resurrect') THEN 'sick' WHEN m = 'cure' THEN 'healthy' WHEN m = 'kill' THEN 'dead' WHEN m = 'bury' THEN 'buried' ELSE state END,
+               CASE m WHEN 'cure' THEN 8 WHEN 'throttle' THEN throttles + 1 WHEN 'unthrottle' THEN throttles - 1 ELSE throttles END,
+               CASE WHEN m IN ('cure', 'throttle', 'unthrottle', 'resurrect') THEN 0 ELSE s END, CASE WHEN m IN ('cure', 'throttle', 'unthrottle', 'resurrect') THEN 0 ELSE e END,
+               CASE WHEN m IN ('quarantine', 'resurrect') THEN sec WHEN m = 'cure' THEN 0 ELSE sicked END,
+               CASE WHEN m = 'kill' THEN sec WHEN m IN ('quarantine', 'resurrect', 'cure') THEN 0 ELSE killed END, m
+        FROM (
+            SELECT *, CASE WHEN turn = 1 AND state = 'healthy' AND e > 5 THEN 'quarantine' WHEN turn = 1 AND state = 'sick' AND s > 5 THEN 'cure'
+                           WHEN turn = 1 AND state = 'sick' AND e > 5 AND sec - sicked > 3600 THEN 'kill' WHEN turn = 1 AND state = 'dead' AND s > 5 THEN 'resurrect'
+                           WHEN turn = 1 AND state = 'dead' AND e > 5 AND sec - killed > 86400 THEN 'bury' WHEN turn = 1 OR state <> 'healthy' OR total <= 50 THEN NULL
+                           WHEN rate >= 0.7 THEN 'quarantine' WHEN rate > 0.1 AND throttles < 9 THEN 'throttle' WHEN rate >= 0.1 THEN 'quarantine'
+                           WHEN throttles > 0 THEN 'unthrottle' END AS m
+            FROM (SELECT t.backend, t.i, t.sec, t.turn, t.total, t.rate, f.state, f.throttles, f.sicked, f.killed,
+                         CASE WHEN t.turn = 1 THEN CASE WHEN t.ok THEN f.suc + 1 ELSE 0 END ELSE f.suc END AS s,
+                         CASE WHEN t.turn = 1 THEN CASE WHEN t.ok THEN 0 ELSE f.err + 1 END ELSE f.err END AS e
+                  FROM fold f JOIN ticks t ON t.backend = f.backend AND t.i = f.i + 1)))"""
+
+
+@query("health_fsm", f"""{_FSM}
+    SELECT backend, arg_max(state, i) AS state, arg_max(throttles, i) AS throttles, arg_max(suc, i) AS suc, arg_max(err, i) AS err, CAST(count(move) AS INT) AS moves
+    FROM fold GROUP BY backend""")
 def health_fsm(spark, sf_dir):
     """The state of each backend after all its windows and probes, and how often it moved."""
     return health.replay(_ticks(spark, sf_dir)).select("backend", "state", "throttles", "suc", "err", F.size("moves").alias("moves"))
 
 
-@query("health_transitions")
+@query("health_transitions", f"{_FSM} SELECT CAST(make_timestamp(sec * 1000000) AS DATE) AS day, move, count(*) AS n FROM fold WHERE move IS NOT NULL GROUP BY ALL")
 def health_transitions(spark, sf_dir):
     """Moves between states by day."""
     moved = health.replay(_ticks(spark, sf_dir)).select("backend", F.explode("moves").alias("m"))
@@ -217,7 +250,7 @@ def dump_crc_reject(spark, sf_dir):
     return snapshot.read_framed(files).select(F.col("path").alias("key"), "status")
 
 
-@query("version_rotate")
+@query("version_rotate", "SELECT * FROM (VALUES ('v3', 3), ('v4', 4), ('v5', 5)) AS t(version, number)")
 def version_rotate(spark, sf_dir):
     """Five versions, of which the last three stay."""
     base = _folder(spark)
