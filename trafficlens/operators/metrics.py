@@ -66,7 +66,7 @@ def last_values(series: DataFrame, by: list[str], value: str) -> DataFrame:
     return series.groupBy(*by).agg(F.max_by(value, "win").alias(value), F.max("win").alias("win"))
 
 
-def exposition(values: DataFrame, prefix: str = "adv_cache_") -> DataFrame:
+def exposition(values: DataFrame, prefix: str = "cache_") -> DataFrame:
     """Lines of a text exposition from columns (name, value); whole numbers without a decimal point."""
     number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string"))
     return values.select(F.concat(F.lit(prefix), "name", F.lit(" "), number).alias("line"))

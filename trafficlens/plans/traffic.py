@@ -430,8 +430,8 @@ def dash_gauges(spark, sf_dir):
 
 @query("exposition", f"""
     WITH {OUTCOMES}, c AS (SELECT count(*) FILTER (outcome = 'hit') AS h, count(*) FILTER (outcome = 'miss') AS m, count(*) AS t FROM outcome)
-    SELECT 'adv_cache_cache_hits ' || h AS line FROM c UNION ALL SELECT 'adv_cache_cache_misses ' || m FROM c UNION ALL SELECT 'adv_cache_total ' || t FROM c""")
+    SELECT 'cache_hits ' || h AS line FROM c UNION ALL SELECT 'cache_misses ' || m FROM c UNION ALL SELECT 'cache_total ' || t FROM c""")
 def exposition(spark, sf_dir):
     total = metrics.counters(outcomes(spark, sf_dir), "24 hours").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "total")])
-    named = F.stack(F.lit(3), F.lit("cache_hits"), "hits", F.lit("cache_misses"), "misses", F.lit("total"), "total").alias("name", "value")
+    named = F.stack(F.lit(3), F.lit("hits"), "hits", F.lit("misses"), "misses", F.lit("total"), "total").alias("name", "value")
     return metrics.exposition(total.select(named).select("name", F.col("value").cast("double").alias("value")))

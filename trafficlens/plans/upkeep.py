@@ -273,7 +273,7 @@ def dump_latest_files(spark, sf_dir):
 
 
 @query("generated_requests", """
-    SELECT i AS req_id, '/api/v2/pagedata' AS path, strlen(i::VARCHAR) * 6 + 399 AS query_bytes, 88 + 16 + strlen(i::VARCHAR) * 6 + 399
+    SELECT i AS req_id, '/api/v2/pagedata' AS path, strlen(i::VARCHAR) * 6 + 401 AS query_bytes, 88 + 16 + strlen(i::VARCHAR) * 6 + 401
            + (8 + 4 + 12) + (8 + 15 + 17) + (8 + 15 + 14) + (8 + 12 + 16) + (12 + 12 + 16) + (12 + 4 + 32) AS weight FROM range(0, 1000) t(i)""")
 def generated_requests(spark, sf_dir):
     """A thousand synthetic requests and the bytes their entries would take."""

@@ -23,15 +23,16 @@ def from_events(events: DataFrame) -> DataFrame:
     return keyed.withColumn("shard", keys.shard_of(F.col("key")))
 
 
-def generate(spark: SparkSession, n: int, path: str = "/api/v2/pagedata", partitions: int | None = None) -> DataFrame:
+def generate(spark: SparkSession, n: int, path: str = "/api/v2/pagedata", domain: str = "example.com", partitions: int | None = None) -> DataFrame:
     """`n` consecutive synthetic requests with nested `choice` parameters that hold the row's number.
 
     Two of the parameters have no "="; with keys concatenated without delimiters their hashed bytes are the same.
     """
     i = F.col("id").cast("string")
     deep = lambda k: "choice" + "[choice]" * k + "[name]"
+    # The parameters' names and values, and the headers below.
     parts = [
-        F.lit("project[id]=285&domain=1x001.com&language=en"),
+        F.lit(f"project[id]=285&domain={domain}&language=en"),
         F.lit(f"&{deep(0)}=betting&{deep(1)}=betting_live&{deep(2)}=betting_live_null"),
         F.concat(F.lit(f"&{deep(3)}=betting_live_null_"), i),
         F.concat(F.lit(f"&{deep(4)}betting_live_null_"), i, F.lit("_"), i),
