@@ -5,7 +5,7 @@ numbers are sorted and numbered in turn, until each document has one number. Two
 the same last number if and only if their texts are equal.
 
 Blocks travel as SHA-256 digests, after one pass that groups them by digest and content and so proves that no
-two different blocks of this corpus share a digest (if two did, the contents themselves would be the keys).
+two different blocks of this corpus share a digest (if two did, it would stop with an error and not guess).
 Copies meet in partial aggregates before each shuffle, so a text that holds a third of all rows is no hot task.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.util import checkpoint, number_distinct, text_bytes, with_row_id
+from trafficlens.llm.util import checkpoint, dealt_anew, number_distinct, text_bytes, with_row_id
 
 BLOCK_BYTES = 4096
 
@@ -100,7 +100,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = named.groupBy("__n_bytes", "__level", "__name").agg(
         F.max(F.struct(F.col(id_col), F.col("__rid"))).alias("__top"), F.count(F.lit(1)).alias("group_size")
     )
-    out = named.join(groups, ["__n_bytes", "__level", "__name"])
+    out = named.join(dealt_anew(groups, "__name"), ["__n_bytes", "__level", "__name"])
     return out.select(
         *[c for c in lean.columns if c != "text"],
         F.col(f"__top.{id_col}").alias("keep_id"),

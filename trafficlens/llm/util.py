@@ -52,6 +52,15 @@ def number_distinct(df: DataFrame, keys: list[str], name: str, buckets: int = 1
     return ranked.select(*keys, (F.col("__b") * F.lit(1 << 40) + F.col("__r")).alias(name), F.col("__n"))
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """`df` without the partitioning by `key` (a long) that an aggregate has left it with.
+
+    A join on `key` then shuffles both of its sides, and Spark can split a side's partition that one key makes too
+    large. Joined as it is, an aggregate would draw all rows of a key to the task that has its one row.
+    """
+    return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))  # the same value; + 0 would be optimised away
+
+
 def most_frequent(counts: DataFrame, n: str, k: int) -> DataFrame:
     """The rows of a table of counts with the largest counts, as many whole steps of the count as `k` rows hold.
 
