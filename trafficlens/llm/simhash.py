@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
-from trafficlens.llm.util import checkpoint, partitions
+from trafficlens.llm.util import checkpoint, dealt_anew, partitions
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -257,7 +257,7 @@ def simhash_dedup(
         "fp", "rep", F.coalesce("component", "fp").alias("component")
     )
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "component_id")
+    named = classes.join(dealt_anew(least, "component"), "component").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("__id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
