@@ -272,7 +272,6 @@ def _cut_segments(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, txs, texts, copied, runs = (batch.column(k) for k in range(5))
-            wanted = runs.to_pylist()
             raw = _texts(texts)
             keys, rows, firsts, segments, times = [], [], [], [], []
             size = 0
@@ -289,7 +288,7 @@ def _cut_segments(window: int):
 
             for r in range(batch.num_rows):
                 text, n = next(raw), 2 if copied[r].as_py() else 1
-                for one in wanted[r] or []:
+                for one in runs[r].as_py() or []:
                     a = one["at"] >> 21
                     b = a + (one["at"] >> 1 & CHUNK - 1)
                     if one["hot"]:
@@ -417,7 +416,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, whole, stretches = (batch.column(k) for k in range(4))
         sizes, spans, kept = [], [], []
-        for text, all_of_it, found in zip(_texts(texts), whole.to_pylist(), stretches.to_pylist()):
+        for text, all_of_it, found in zip(_texts(texts), whole.to_pylist(), (x.as_py() for x in stretches)):
             merged: list[list[int]] = [[0, len(text)]] if all_of_it else []
             for x in sorted((f["start"], f["stop"]) for f in found or []) if not all_of_it else []:
                 if merged and x[0] <= merged[-1][1]:
