@@ -145,6 +145,14 @@ def test_embeddings_equal_all_pairs(spark, block, monkeypatch):
         assert got[v]["component_id"] == min(members) and got[v]["kept"] == (v == min(members))
 
 
+def test_embeddings_in_double_precision(spark):
+    angle = np.arccos(0.9)
+    near = lambda d: [float(np.cos(angle + d)), float(np.sin(angle + d))]
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, near(1e-10)), (3, near(-1e-10))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 2}
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.embedding_dedup(empty).count() == 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.components import components
 from trafficlens.llm.simhash import _forest
-from trafficlens.llm.util import checkpoint, partitions
+from trafficlens.llm.util import checkpoint, dealt_anew, partitions
 
 LEADING = 8
 BLOCK = 2048
@@ -65,7 +65,7 @@ def principal(vectors: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, vectors_[:, ::-1][:, : min(LEADING, size)]
 
 
-def pack_blocks(vectors: DataFrame, size: int, eps: float, block: int) -> DataFrame:
+def pack_blocks(vectors: DataFrame, size: int, eps: float, block: int, kind: type) -> DataFrame:
     """The epsilon grid order, cut into rows (block, lo, hi, uids, counts, data): at most `block` vectors each."""
     mean, axes = principal(vectors, size)
     k = axes.shape[1]
@@ -79,7 +79,7 @@ def pack_blocks(vectors: DataFrame, size: int, eps: float, block: int) -> DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def row(part: pd.DataFrame) -> dict:
             p = np.stack(part["proj"])
-            data = np.stack(part["vec"]).astype(np.float32)
+            data = np.stack(part["vec"]).astype(kind)
             return {
                 "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(), "uids": part["uid"].to_numpy(np.int64).tobytes(),
                 "counts": part["count"].to_numpy(np.int64).tobytes(), "data": data.tobytes(), "proj": p.tobytes(),
@@ -162,13 +162,13 @@ def _join(a: np.ndarray, pa: np.ndarray, b: np.ndarray, pb: np.ndarray, ca, cb,
     return na, nb, np.concatenate(ia or [np.empty(0, np.int64)]), np.concatenate(ib or [np.empty(0, np.int64)])
 
 
-def _links(size: int, cosine: float, eps: float):
+def _links(size: int, cosine: float, eps: float, kind: type):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 side = []
                 for s in ("a", "b"):
-                    v = np.frombuffer(getattr(r, f"data_{s}"), np.float32).reshape(-1, size).astype(np.float64)
+                    v = np.frombuffer(getattr(r, f"data_{s}"), kind).reshape(-1, size).astype(np.float64)
                     p = np.frombuffer(getattr(r, f"proj_{s}"), np.float64).reshape(len(v), -1)
                     side.append((_unit(v), p, np.frombuffer(getattr(r, f"counts_{s}"), np.int64), np.frombuffer(getattr(r, f"uids_{s}"), np.int64)))
                 (a, pa, ca, ua), (b, pb, cb, ub) = side
@@ -186,15 +186,16 @@ def _links(size: int, cosine: float, eps: float):
 def _one_size(vectors: DataFrame, size: int, cosine: float, block: int) -> DataFrame:
     """(u, v, n) for distinct vectors of one size: link counts (v = -1) and edges (n = 0)."""
     spark = vectors.sparkSession
-    eps = float(np.sqrt(2 - 2 * cosine))
-    blocks = pack_blocks(vectors, size, eps, block)
+    eps = float(np.sqrt(2 - 2 * cosine)) * (1 + SLACK)  # rounding must not put two linked vectors two cells apart
+    kind = np.float32 if vectors.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
+    blocks = pack_blocks(vectors, size, eps, block, kind)
     pairs = block_pairs(blocks, eps, size)
     load = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("uids", "counts", "data", "proj")])
     joined = pairs.join(load("a"), "a").join(load("b"), "b").repartition(partitions(spark), "a", "b")
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is two blocks, about 1 MB each
     try:
-        return checkpoint(joined.mapInPandas(_links(size, cosine, eps), "u long, v long, n long"))
+        return checkpoint(joined.mapInPandas(_links(size, cosine, eps, kind), "u long, v long, n long"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 
@@ -230,7 +231,7 @@ def embedding_dedup(
     named = alone.join(parts, F.col("uid") == F.col("vertex"), "left").join(counts, F.col("uid") == F.col("u"), "left")
     named = named.select("uid", "rep", "copies", "vec", F.coalesce("component", "uid").alias("part"), F.coalesce("others", F.lit(0)).alias("others"))
     least = named.groupBy("part").agg(F.min("rep").alias("least"))
-    named = named.join(least, "part").select("vec", (F.col("others") + F.col("copies") - 1).alias("links"), "least")
+    named = named.join(dealt_anew(least, "part"), "part").select("vec", (F.col("others") + F.col("copies") - 1).alias("links"), "least")
     rows = flagged.withColumn("vec", F.when(F.col("__ok"), F.col("vec"))).join(named, "vec", "left")
     return rows.select(
         F.col("__id").alias(id_col),

@@ -71,8 +71,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"]):
-                rows = [(file, *r) for r in parse_warc(content)]
-                yield pd.DataFrame(rows, columns=["warc_file", "warc_offset", "warc_length", "uri", "record"])
+                rows = [(file, *r) for r in parse_warc(bytes(content))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["warc_file", "warc_offset", "warc_length", "uri", "record"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "warc_file string, warc_offset long, warc_length long, uri string, record binary")
