@@ -33,6 +33,7 @@ SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 BUCKET_ROWS = 4096
+MEAN_BUCKET = 64
 LEAF = 16
 FAN_OUT = 8
 _HASHED_AT_ONCE = 1 << 16
@@ -209,10 +210,24 @@ def choices(max_bits: int, blocks: int, keep: int) -> list[int]:
     return [sum(c) for c in combinations(masks, keep)]
 
 
+def choose_blocks(n: int, max_bits: int) -> tuple[int, int]:
+    """(blocks, keep) for n fingerprints: as few choices as keep a bucket of evenly spread ones at MEAN_BUCKET rows.
+
+    Any choice finds the same links; more fingerprints need longer keys, and so more keys for each."""
+    keep = 1
+    while n >> (64 * keep // (keep + max_bits)) > MEAN_BUCKET and keep < 4:
+        keep += 1
+    return keep + max_bits, keep
+
+
 def fingerprint_links(
-    fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = 4, keep: int = 1, bucket_rows: int = BUCKET_ROWS
+    fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, keep: int | None = None, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that connect all that link within `max_bits`."""
+    """Edges (u, v) between distinct fingerprints (column fp) that connect all that link within `max_bits`.
+
+    `fps` is read more than once: checkpoint it before. Without `blocks` and `keep` they follow from its size."""
+    if blocks is None or keep is None:
+        blocks, keep = choose_blocks(fps.count(), max_bits)
     signed = [m - (1 << 64) if m >> 63 else m for m in choices(max_bits, blocks, keep)]
     keyed = fps.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "key")
@@ -238,8 +253,8 @@ def simhash_dedup(
     text_col: str = "text",
     width: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS,
-    blocks: int = 4,
-    keep: int = 1,
+    blocks: int | None = None,
+    keep: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id and kept.
