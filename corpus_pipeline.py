@@ -25,7 +25,7 @@ from trafficlens.session import table
 LEAST_SCORE = 0.5
 #: Near copies: fingerprints of five-word shingles that differ in up to six bits. Six of 64 bits stand for an angle
 #: whose cosine is 0.957, a Jaccard similarity of about 0.92, so whatever links is beyond a similarity of 0.8.
-SHINGLE_WORDS, MAX_BITS, BLOCKS, KEEP = 5, 6, 8, 2
+SHINGLE_WORDS, MAX_BITS = 5, 6
 #: Target weights: the budget is as many tokens as there are, in up to four epochs.
 WEIGHTS = {("web",): 3, ("forum",): 2, ("reference",): 2, ("web", "en"): 3, ("web", "en", "src0"): 4}
 EPOCHS = 4
@@ -47,7 +47,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document with the smallest doc_id."""
-    stay = simhash_dedup(docs, width=SHINGLE_WORDS, max_bits=MAX_BITS, blocks=BLOCKS, keep=KEEP).where("kept")
+    stay = simhash_dedup(docs, width=SHINGLE_WORDS, max_bits=MAX_BITS).where("kept")
     return docs.join(stay.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 150_000
 KNOWN_LENGTH = 64
 SHORT = 48
 BATCH_BYTES = 2 << 20
@@ -222,6 +222,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     yield made(batch, first, out)
                     first, out, size = r + 1, [], 0
             yield made(batch, first, out)
+            pa.default_memory_pool().release_unused()  # the worker stays; what it doesn't need goes back
 
     schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -20,6 +20,7 @@ from operator import add, mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,11 @@ UND = "und"
 UNSEEN = 1e-7
 #: Added to each piece's expected count, so that a piece unseen in one language is rare there, not impossible.
 PRIOR = 0.05
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 #: Words of up to so many letters can't get a probability that is too small for a double.
 PLAIN_LETTERS = 40
 TEXTS_AT_ONCE = 1000
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 150_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -263,6 +264,7 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], probs: np.ndar
                 best = int(total.argmax())
                 found.append(names[best])
                 scores.append(float(odds[best] / odds.sum()))
+        pa.default_memory_pool().release_unused()  # the worker stays; what it doesn't need goes back
         return pd.DataFrame({"lang_pred": found, "score": scores})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
