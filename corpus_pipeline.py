@@ -15,17 +15,16 @@ from pyspark.sql.window import Window
 
 from trafficlens.llm import byte_bpe, language_id
 from trafficlens.llm.exact_dedup import exact_dedup
+from trafficlens.llm.jaccard import jaccard_dedup
 from trafficlens.llm.mixing import mix
 from trafficlens.llm.queries import BYTE_RANKS, MIX_SEED, PIECES, mix_levels, word_count
-from trafficlens.llm.simhash import simhash_dedup
 from trafficlens.llm.util import checkpoint
 from trafficlens.session import table
 
 #: A text goes if it has no letter, or if no language reaches this posterior.
 LEAST_SCORE = 0.5
-#: Near copies: fingerprints of five-word shingles that differ in up to six bits. Six of 64 bits stand for an angle
-#: whose cosine is 0.957, a Jaccard similarity of about 0.92, so whatever links is beyond a similarity of 0.8.
-SHINGLE_WORDS, MAX_BITS = 5, 6
+#: Near copies: sets of five-word shingles with a Jaccard similarity of at least 4/5.
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, (4, 5)
 #: Target weights: the budget is as many tokens as there are, in up to four epochs.
 WEIGHTS = {("web",): 3, ("forum",): 2, ("reference",): 2, ("web", "en"): 3, ("web", "en", "src0"): 4}
 EPOCHS = 4
@@ -47,7 +46,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document with the smallest doc_id."""
-    stay = simhash_dedup(docs, width=SHINGLE_WORDS, max_bits=MAX_BITS).where("kept")
+    stay = jaccard_dedup(docs, width=SHINGLE_WORDS, least=LEAST_SIMILARITY).where("kept")
     return docs.join(stay.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 

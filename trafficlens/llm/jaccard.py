@@ -1,0 +1,177 @@
+"""Near-dedup by the exact Jaccard similarity of word shingles; MinHash bands only propose the pairs.
+
+Candidates: `BANDS` keys a text, each from `ROWS` minima of its shingles' hashes. Two texts of similarity s share no key
+with probability (1 - s**ROWS)**BANDS, at s = 0.8 three pairs in a million, and fewer above.
+
+Links: candidates whose shingle sets have a similarity of at least `least`, by counting. In each bucket all members are
+compared with one of them first, a few times over; what that joins into one component needs no more comparisons, so a
+large group of near copies isn't paired up. Then every candidate pair that is still in two components is compared;
+in large buckets only if enough minima agree, which a pair at 0.8 fails to do one time in a million.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trafficlens.llm.components import components
+from trafficlens.llm.simhash import SEED
+from trafficlens.llm.util import checkpoint, dealt_anew, with_row_id
+
+SHINGLE_WORDS = 5
+#: The least similarity of a link, as a fraction, so that a pair right on it is judged without rounding.
+LEAST = (4, 5)
+BANDS, ROWS = 24, 4
+STAR_ROUNDS = 2
+#: Of the 96 minima, two sets of similarity 0.8 have fewer than so many in common one time in a million.
+LEAST_IN_COMMON = 57
+#: Buckets of more members are compared by their minima in tasks of two chunks of at most CHUNK or so.
+SMALL, CHUNK = 16, 512
+_HASHED_AT_ONCE = 1 << 9
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct XXH64 values of the text's shingles, sorted. Words are those of simhash.fingerprint; fewer than
+    `width` of them are one shingle, none give an empty set."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64))
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS * ROWS hashes over a set of shingles."""
+    least = np.full(len(_ODD), np.iinfo(np.uint32).max, dtype=np.uint32)
+    low = (shingles ^ shingles >> np.uint64(29)).astype(np.uint32)
+    for at in range(0, len(low), _HASHED_AT_ONCE):
+        np.minimum(least, (_ODD[:, None] * low[at : at + _HASHED_AT_ONCE]).min(axis=1), out=least)
+    return least
+
+
+def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(__id, __sha, digest, n, minima) of each row: SHA-256 of the text; digest, size and minima of its shingle set."""
+
+    @F.pandas_udf("digest binary, n long, minima binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            s = shingle_set(t, width)
+            out.append((xxhash.xxh128_digest(s.tobytes()), len(s), minima(s).tobytes()))
+        return pd.DataFrame(out, columns=["digest", "n", "minima"])
+
+    return docs.select(F.col(id_col).alias("__id"), text_sha(text_col).alias("__sha"), of(F.col(text_col)).alias("__of")).select("__id", "__sha", "__of.*")
+
+
+def text_sha(text_col: str = "text"):
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """A checkpoint without its plan's estimate of size, which each join would multiply, from turn to turn."""
+    spark, written = df.sparkSession, checkpoint(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(written.javaRDD(), written.schema()), spark)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough: i / (m + n - i) >= p / q."""
+    p, q = least
+    left = sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("__a"))
+    right = sets.select(F.col("vertex").alias("v"), F.col("shingles").alias("__b"))
+    both = F.size(F.array_intersect("__a", "__b")).cast("long") * F.lit(p + q)
+    return pairs.join(left, "u").join(right, "v").where(both >= F.lit(p) * (F.size("__a") + F.size("__b"))).select("u", "v")
+
+
+def _met_in_chunks(rest: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(vertex, w): the pairs of large buckets (key, vertex, n, c, m, minima) in two components whose minima agree so far
+    that they may link. Each task compares two chunks of a bucket, so no bucket is held by one, and no pair is lost."""
+    p, q = least
+    dealt = rest.withColumn("chunks", F.ceil(F.col("m") / F.lit(CHUNK)).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["own"] == rows["one"]]
+        right = rows[rows["own"] == rows["two"]]
+        table = lambda x: np.frombuffer(b"".join(x["minima"]), np.uint32).reshape(len(x), -1)
+        a, b = table(left), table(right)
+        found = []
+        for at in range(0, len(left), 64):
+            common = np.zeros((len(a[at : at + 64]), len(b)), np.uint8)
+            for k in range(a.shape[1]):
+                common += a[at : at + 64, k, None] == b[None, :, k]
+            found.append(np.argwhere(common >= LEAST_IN_COMMON) + [at, 0])
+        x, y = np.concatenate([np.empty((0, 2), np.int64), *found]).astype(np.int64).T
+        u, v = left.iloc[x], right.iloc[y]
+        m, n = u["n"].to_numpy(), v["n"].to_numpy()
+        on = (u["c"].to_numpy() != v["c"].to_numpy()) & (q * np.minimum(m, n) >= p * np.maximum(m, n))
+        return pd.DataFrame({"vertex": u["vertex"].to_numpy()[on], "w": v["vertex"].to_numpy()[on]})
+
+    return dealt.groupBy("key", "one", "two").applyInPandas(compare, "vertex long, w long")
+
+
+def jaccard_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, least: tuple[int, int] = LEAST
+) -> DataFrame:
+    """One row per input row: id, text_sha256 (binary), component_id and kept.
+
+    component_id is the smallest id reachable over links; kept is true for the rows with that id. Null and empty texts
+    are one vertex, as are texts with equal shingle sets. Null ids stay null and are the smallest only where a component
+    has no other; such rows are then kept. An empty table gives an empty result; other columns are ignored. `docs` is
+    read twice: only texts that share a band with another have their shingles sent anywhere.
+    """
+    spark = docs.sparkSession
+    rows = checkpoint(_described(docs, id_col, text_col, width))
+    one = rows.groupBy("digest").agg(F.min("__id").alias("rep"), F.min("__sha").alias("sha"), F.min("n").alias("n"), F.min("minima").alias("minima"))
+    vertices = checkpoint(with_row_id(one, "vertex"))
+    bands = [F.xxhash64(F.lit(k), F.substring("minima", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
+    keyed = vertices.where("n > 0").select("vertex", "n", F.explode(F.array(*bands)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__m")).where("__m > 1").select("key")
+    buckets = checkpoint(keyed.join(dealt_anew(shared, "key"), "key"))
+    met = buckets.select("vertex").distinct().join(vertices.select("vertex", "sha"), "vertex")
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
+
+    texts = docs.select(text_sha(text_col).alias("sha"), F.col(text_col).alias("__text")).join(met, "sha")
+    sets = checkpoint(texts.select("vertex", shingles("__text").alias("shingles")).groupBy("vertex").agg(F.first("shingles").alias("shingles")))
+
+    p, q = least
+    alike = (F.col("c") != F.col("wc")) & (F.lit(q) * F.least("n", "wn") >= F.lit(p) * F.greatest("n", "wn"))
+    other = [F.col("vertex").alias("w"), F.col("n").alias("wn"), F.col("c").alias("wc")]
+    tried = spark.createDataFrame([], "u long, v long")
+    found = tried.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    for turn in range(STAR_ROUNDS + 1):
+        now = buckets.join(dealt_anew(found, "vertex"), "vertex", "left").select("key", "vertex", "n", F.coalesce("component", "vertex").alias("c"))
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "vertex").alias("h"), "vertex", "n", "c")).alias("s")
+        mixed = now.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("m"), first).where("least < most")
+        if turn < STAR_ROUNDS:
+            star = mixed.select("key", *[F.col(f"s.{c}").alias(w) for c, w in (("vertex", "w"), ("n", "wn"), ("c", "wc"))])
+            near = now.join(dealt_anew(star, "key"), "key").where(alike)
+        else:
+            rest = checkpoint(now.join(dealt_anew(mixed.select("key", "m"), "key"), "key"))
+            little = rest.where(F.col("m") <= SMALL)
+            near = little.join(little.select("key", *other), "key").where(alike).select("vertex", "w")
+            near = near.unionByName(_met_in_chunks(rest.where(F.col("m") > SMALL).join(vertices.select("vertex", "minima"), "vertex"), least))
+        near = near.select(F.greatest("vertex", "w").alias("u"), F.least("vertex", "w").alias("v")).distinct()
+        fresh = _settled(near.join(tried, ["u", "v"], "left_anti"))
+        tried = tried.unionByName(fresh)
+        links = _settled(_linked(fresh, sets, least))
+        if not links.isEmpty():
+            found = _settled(components(links.unionByName(found.select(F.col("vertex").alias("u"), F.col("component").alias("v")))))
+
+    classes = vertices.join(found, "vertex", "left").select("digest", "rep", F.coalesce("component", "vertex").alias("c"))
+    smallest = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = classes.join(dealt_anew(smallest, "c"), "c").select("digest", "component_id")
+    return rows.join(named, "digest").select(
+        F.col("__id").alias(id_col), F.col("__sha").alias("text_sha256"), "component_id",
+        F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
