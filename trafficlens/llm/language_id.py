@@ -6,8 +6,9 @@ algorithm; the probability of a text is the product over its words (runs of lett
 vocabulary's word mark in front). The best posterior under equal priors names the language.
 
 Piece probabilities are learned by expectation-maximisation. Words are counted over all training rows; the
-expectation runs on the driver over at most `FIT_WORDS` of them, the most frequent that were seen twice, a fixed bound, and the model has at
-most pieces x `MAX_LANGUAGES` numbers, so both stay bounded however large the corpus.
+expectation runs on the driver over at most `FIT_WORDS` of them, an equal part for each language: its most frequent
+ones, down to words seen once where there is room. The model has at most pieces x `MAX_LANGUAGES` numbers, so both stay
+bounded however large the corpus, and no language's words depend on how much text the others have.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.util import most_frequent
+from trafficlens.llm.util import checkpoint, most_frequent_each
 
 
 MARK = "▁"
@@ -218,12 +219,13 @@ def fit(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col: st
     """Languages and piece probabilities (pieces x languages) from rows with a language."""
     counts = word_counts(docs.where(F.col(lang_col).isNotNull()), text_col, lang_col)
     # Words of up to 64 letters, in a fixed order, so that the same corpus gives the same sums.
-    top = sorted(most_frequent(counts.where(F.length("word") <= 64), "n", FIT_WORDS).collect())
-    langs = sorted({r["lang"] for r in top})
+    counts = checkpoint(counts.where(F.length("word") <= 64))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGUAGES}")
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; the model holds {MAX_LANGUAGES}")
     if not langs:
         return [], np.zeros((len(pieces), 0))
+    top = sorted(most_frequent_each(counts, "lang", "word", "n", FIT_WORDS // len(langs)).collect())
     at = {x: k for k, x in enumerate(langs)}
     weights: dict[str, np.ndarray] = {}
     for r in top:
