@@ -80,8 +80,9 @@ def test_fingerprints(monkeypatch):
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
-@pytest.mark.parametrize("bits,blocks,keep,rows", [(3, 4, 1, 4096), (3, 4, 1, 20), (6, 8, 2, 64)])
+@pytest.mark.parametrize("bits,blocks,keep,rows", [(3, 4, 1, 4096), (3, 4, 1, 20), (6, 8, 2, 64), (3, None, None, 4096), (3, None, None, 50)])
 def test_links_equal_all_pairs(spark, bits, blocks, keep, rows):
+    """Spread fingerprints, and 300 that share 40 bits: their buckets pass LEAF, FAN_OUT and, with few rows, bucket_rows."""
     r = random.Random(bits + rows)
     fps = [r.getrandbits(64) for _ in range(150)]
     for f in fps[:40]:
@@ -90,6 +91,7 @@ def test_links_equal_all_pairs(spark, bits, blocks, keep, rows):
             for b in r.sample(range(64), r.randint(1, bits + 2)):
                 g ^= 1 << b
             fps.append(g)
+    fps += [(0xABCDE12345 << 24) ^ r.getrandbits(24) for _ in range(300)]
     fps = sorted({*fps, 0, 1, (1 << 64) - 1})
     links = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= bits]
     want = closure(len(fps), links)
@@ -97,18 +99,46 @@ def test_links_equal_all_pairs(spark, bits, blocks, keep, rows):
     edges = simhash.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), bits, blocks, keep, rows)
     found = [(e["u"], e["v"]) for e in edges.collect()]
     at = {s: i for i, s in enumerate(signed)}
-    assert all(bin(fps[at[a]] ^ fps[at[b]]).count("1") <= bits * 64 for a, b in found)
-    assert closure(len(fps), [(at[a], at[b]) for a, b in found]) == want
+    assert closure(len(fps), [(at[a], at[b]) for a, b in found]) == want and len(set(want)) < len(fps)
 
 
-def test_gray_index_finds_all_pairs():
+@pytest.mark.parametrize("leaf,fan,walked", [(16, 8, 1 << 21), (2, 2, 50)])
+def test_gray_index_finds_all_pairs(monkeypatch, leaf, fan, walked):
+    """Buckets of one, a few and hundreds of rows in one forest."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "FAN_OUT", fan)
+    monkeypatch.setattr(simhash, "_WALKED_AT_ONCE", walked)
     r = np.random.default_rng(5)
-    base = r.integers(0, 1 << 63, 30, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in r.integers(0, 63, 40)]))
+    fps, first = [], []
+    for size in (1, 2, 700, 17, 1, 40):
+        base = r.integers(0, 1 << 63, max(1, size // 5), dtype=np.uint64)
+        own = np.unique(r.choice(base, 2 * size) ^ np.left_shift(np.uint64(1), r.integers(0, 63, 2 * size).astype(np.uint64)))[:size]
+        first.append(sum(map(len, fps)))
+        fps.append(own[np.argsort(simhash.gray_rank(own))])
+    every = np.concatenate(fps)
+    got = [(a, b) for q, x in simhash.GrayForest(every, np.array(first)).all_links(3) for a, b in zip(q.tolist(), x.tolist())]
+    ends = [*first[1:], len(every)]
+    want = {(i, j) for a, b in zip(first, ends) for i in range(a, b) for j in range(i + 1, b) if int(every[i] ^ every[j]).bit_count() <= 3}
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_gray_index_prunes_whole_groups():
+    """Groups that lie far apart: a walk adds up the differences on shared bits and never reaches the others' rows."""
+    r = np.random.default_rng(6)
+    centres = r.integers(0, 1 << 63, 64, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFFFFF00)
+    fps = np.unique((centres[:, None] ^ r.integers(0, 256, (64, 32), dtype=np.uint64)).ravel())
     fps = fps[np.argsort(simhash.gray_rank(fps))]
-    q, x = simhash.GrayIndex(fps).links(fps, 3)
-    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
-    assert set(zip(q.tolist(), x.tolist())) == want
+    reached = []
+
+    class Rows(np.ndarray):
+        def __getitem__(self, at):
+            reached.append(np.size(at))
+            return np.asarray(super().__getitem__(at))
+
+    index = simhash.GrayForest(fps, np.array([0]))
+    index.fps = fps.view(Rows)
+    q, _ = index.links(np.arange(len(fps)), 3)
+    assert len(q) and reached[-1] < len(fps) ** 2 / 20
 
 
 def test_simhash_dedup_keeps_the_smallest_id(spark):

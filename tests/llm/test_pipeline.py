@@ -9,7 +9,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as cp
-from trafficlens.llm import byte_bpe, simhash
+from tests.llm.test_similar import brute
+from trafficlens.llm import byte_bpe
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,22 +54,10 @@ def test_exact_stage_keeps_the_largest_id(spark, docs):
 
 
 def test_near_stage_keeps_one_of_each_group(spark, docs):
-    kept = cp.near(spark, docs, SF)
-    rows = plain(docs)
-    fps = {i: simhash.fingerprint(t, cp.SHINGLE_WORDS) for i, t in rows}
-    ids = sorted(fps)
-    label = {i: i for i in ids}
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= cp.MAX_BITS]
-    for _ in range(len(ids)):
-        moved = False
-        for a, b in links:
-            m = min(label[a], label[b])
-            moved |= label[a] != m or label[b] != m
-            label[a] = label[b] = m
-        if not moved:
-            break
-    assert {i for i, _ in plain(kept)} == {i for i in ids if label[i] == i}
-    assert len(links) > 10
+    rows = [(i, t) for i, t in dict(plain(docs)).items()]
+    want = brute(rows)
+    assert {i for i, _ in plain(cp.near(spark, docs, SF))} == {i for i in want if want[i] == i}
+    assert len(set(want.values())) < len(want) - 10
 
 
 def test_mixture_stage_takes_whole_documents(spark, docs):

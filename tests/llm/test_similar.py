@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
-from trafficlens.llm.jaccard import LEAST, jaccard_dedup
+from trafficlens.llm import similar
+from trafficlens.llm.similar import LEAST, simhash_similar
 
 
 def grams(text, width=5):
@@ -42,7 +45,7 @@ def corpus():
 
 def test_components_equal_brute_force(spark):
     rows = corpus()
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
     assert got == want and 60 < len(set(want.values())) < 140
 
@@ -59,5 +62,36 @@ def test_a_group_that_no_single_member_joins(spark):
     """A chain of texts, each similar to the next only, is one component."""
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(words[k * 6 : k * 6 + 120])) for k in range(30)]
-    got = {r["component_id"] for r in jaccard_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["component_id"] for r in simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0} and not alike(grams(rows[0][1]), grams(rows[3][1]))
+
+
+def test_large_buckets_are_dealt_out(spark, monkeypatch):
+    """The same components where every bucket is beyond bucket_rows, and texts of 0.7 to 0.8 in one bucket stay apart."""
+    monkeypatch.setattr(similar, "MEAN_BUCKET", 10_000)
+    rows = corpus()
+    df = spark.createDataFrame([(t, i, 1, 2, 3) for i, t in rows], "text string, doc_id long, c int, vertex int, sha int")
+    got = {r["doc_id"]: r["component_id"] for r in similar.simhash_similar(df, bucket_rows=8).collect()}
+    assert got == brute(rows)
+
+
+def test_pairs_right_at_the_threshold_are_missed_as_seldom_as_stated():
+    """Recall of the bucket keys and of the radius over pairs of exactly 0.8, as for a million texts."""
+    r = np.random.default_rng(4)
+    keys, bits = similar.samples(1_000_000, LEAST)
+    found = 0
+    for _ in range(400):
+        both, a, b = np.split(r.integers(0, 1 << 63, 400 + 50 + 50, dtype=np.uint64), [400, 450])
+        x, y = (similar.wide_fingerprint(np.concatenate([both, own])) for own in (a, b))
+        found += any(
+            not int(x[k] ^ y[k]) & mask and int(x[(k + 1) % similar.WORDS] ^ y[(k + 1) % similar.WORDS]).bit_count() <= bits for k, mask in keys
+        )
+    assert found >= 390
+
+
+def test_of_nothing_and_of_null_ids(spark):
+    assert simhash_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = " ".join(f"w{k}" for k in range(300))
+    df = spark.createDataFrame([(None, long), (4, long + " end"), (None, "alone here"), (5, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in simhash_similar(df).collect()}
+    assert got == {(None, 4, False), (4, 4, True), (None, None, True), (5, 5, True)}
