@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from trafficlens.llm import byte_bpe, language_id
 from trafficlens.llm.exact_dedup import exact_dedup
-from trafficlens.llm.jaccard import jaccard_dedup
+from trafficlens.llm.similar import simhash_similar
 from trafficlens.llm.mixing import mix
 from trafficlens.llm.queries import BYTE_RANKS, MIX_SEED, PIECES, mix_levels, word_count
 from trafficlens.llm.util import checkpoint
@@ -46,7 +46,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document with the smallest doc_id."""
-    stay = jaccard_dedup(docs, width=SHINGLE_WORDS, least=LEAST_SIMILARITY).where("kept")
+    stay = simhash_similar(docs, width=SHINGLE_WORDS, least=LEAST_SIMILARITY).where("kept")
     return docs.join(stay.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
