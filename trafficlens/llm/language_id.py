@@ -5,10 +5,10 @@ sum over all ways to segment it into pieces of the product of their probabilitie
 algorithm; the probability of a text is the product over its words (runs of letters, lower-cased, with the
 vocabulary's word mark in front). The best posterior under equal priors names the language.
 
-Piece probabilities are learned by expectation-maximisation. Words are counted over all training rows; the
-expectation runs on the driver over at most `FIT_WORDS` of them, an equal part for each language: its most frequent
-ones, down to words seen once where there is room. The model has at most pieces x `MAX_LANGUAGES` numbers, so both stay
-bounded however large the corpus, and no language's words depend on how much text the others have.
+Piece probabilities are learned by expectation-maximisation over all words of a sample of labelled rows, about
+`FIT_ROWS` for each language, so no language's words depend on how much text the others have. The expectation runs in
+tasks, each over its part of the words; the driver gets one row a piece, and divides. The model has at most pieces x
+`MAX_LANGUAGES` numbers, however large the corpus.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
-from math import log
-from operator import add, mul
 
 import numpy as np
 import pandas as pd
@@ -26,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.util import checkpoint, most_frequent_each
-
+from trafficlens.llm.util import checkpoint
 
 MARK = "▁"
-FIT_WORDS = 60_000
+#: Labelled rows that the model is fitted on, for each language.
+FIT_ROWS = 1000
 MAX_LANGUAGES = 64
 ROUNDS = 4
 UND = "und"
@@ -39,8 +37,9 @@ UNSEEN = 1e-7
 #: Added to each piece's expected count, so that a piece unseen in one language is rare there, not impossible.
 PRIOR = 0.05
 CACHE_WORDS = 80_000
-#: Words of up to so many letters can't get a probability that is too small for a double.
-PLAIN_LETTERS = 40
+#: What a lattice holds at once, and the letters of a run that count as one word when the model is fitted.
+LETTERS_AT_ONCE = 50_000
+STRETCH = 64
 TEXTS_AT_ONCE = 1000
 COUNTED_WORDS = 150_000
 _LETTERS = regex.compile(r"\p{L}+")
@@ -59,99 +58,109 @@ def load_pieces(path: str) -> list[str]:
     return list(dict.fromkeys(sp.id_to_piece(i).lower() for i in plain))
 
 
-class Segmenter:
-    """Forward (and backward) sums over all segmentations of a word, for all languages at once."""
-
-    def __init__(self, pieces: list[str], probs: np.ndarray):
+class Lattice:
+    """All places where pieces stand in some words. Forward and backward sums run over all words and languages at once.
+
+    An edge is a piece that begins at one letter of a word and ends at another; a letter that is no piece is an edge by
+    itself, of probability UNSEEN. Edges are sorted by the letter they end at, so step j adds up all edges that end at
+    letter j of any word. Sums are scaled word by word, so no word is too long for a double."""
+
+    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+        self.n = len(words)
+        self.lengths = np.fromiter(map(len, words), np.int64, self.n) + 1
+        letters = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(self.n), self.lengths)
+        ends = np.cumsum(self.lengths)
+        first = np.arange(len(letters))  # where an edge begins; state: the trie's node for what was read from there
+        begin, left, state = first - (ends - self.lengths)[word], ends[word] - first, np.zeros(len(letters), np.int64)
+        found, step = [], 1
+        while len(first):
+            state = vocabulary.step(state, letters[first + step - 1])
+            piece = np.where(state >= 0, vocabulary.piece[state], -1)
+            edge = (piece >= 0) | (step == 1)
+            found.append((word[first[edge]], begin[edge], begin[edge] + step, piece[edge]))
+            on = (state >= 0) & (left > step)
+            first, begin, left, state = first[on], begin[on], left[on], state[on]
+            step += 1
+        at, start, stop, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        order = np.argsort(stop * (self.n + 1) + at, kind="stable")
+        self.at, self.start, self.stop, self.piece = at[order], start[order], stop[order], piece[order]
+        self.steps = np.flatnonzero(np.r_[True, self.stop[1:] != self.stop[:-1]]) if len(order) else np.empty(0, np.int64)
+        self.base = np.cumsum(self.lengths + 1) - self.lengths - 1  # a word's sums stand in rows base to base + length
+
+    def _weights(self, probs: np.ndarray) -> np.ndarray:
+        return np.where(self.piece[:, None] >= 0, probs[self.piece], UNSEEN)
+
+    def forward(self, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all segmentations up to each letter, and the logarithm of the scale they are in (one a letter)."""
+        p = self._weights(probs)
+        alpha = np.zeros((int(self.lengths.sum()) + self.n, probs.shape[1]))
+        scale = np.zeros(len(alpha))
+        alpha[self.base] = 1
+        for a, b in zip(self.steps, [*self.steps[1:], len(self.at)]):
+            row, own = self.base[self.at[a:b]], np.flatnonzero(np.r_[True, self.at[a + 1 : b] != self.at[a : b - 1]])
+            source, target = row + self.start[a:b], row[own] + self.stop[a]
+            last = target - 1  # the scale of the letter before; earlier sums are brought to it
+            shift = np.exp(scale[source] - np.repeat(scale[last], np.diff(np.r_[own, b - a])))
+            total = np.add.reduceat(alpha[source] * shift[:, None] * p[a:b], own)
+            top = total.max(axis=1)
+            alpha[target], scale[target] = total / top[:, None], scale[last] + np.log(top)
+        return alpha, scale
+
+    def log_probs(self, probs: np.ndarray) -> np.ndarray:
+        """log P(word) in each language, words x languages."""
+        if not self.n:
+            return np.zeros((0, probs.shape[1]))
+        alpha, scale = self.forward(probs)
+        ends = self.base + self.lengths
+        return np.log(np.maximum(alpha[ends], 1e-300)) + scale[ends][:, None]
+
+    def expect(self, probs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, each counted `weights` (words x languages) times."""
+        if not self.n:
+            return np.zeros_like(probs)
+        alpha, scale = self.forward(probs)
+        p = self._weights(probs)
+        beta = np.zeros_like(alpha)  # of row r, in the scale of 1 / exp(scale[r]) times that of the whole word
+        ends = self.base + self.lengths
+        beta[ends] = weights / np.maximum(alpha[ends], 1e-300)
+        pieces, values = [], []
+        for a, b in reversed(list(zip(self.steps, [*self.steps[1:], len(self.at)]))):
+            row = self.base[self.at[a:b]]
+            source, target = row + self.start[a:b], row + self.stop[a:b]
+            back = beta[target] * p[a:b] * np.exp(scale[source] - scale[target])[:, None]
+            beta[source] += back  # of one step's edges, no two of a word begin at one letter
+            pieces.append(self.piece[a:b])
+            values.append(alpha[source] * back)
+        pieces, values = np.concatenate(pieces), np.concatenate(values)
+        pieces, values = pieces[pieces >= 0], values[pieces >= 0]
+        return np.stack([np.bincount(pieces, v, len(probs)) for v in values.T], axis=1)
+
+
+class Vocabulary:
+    """Pieces by number, and the trie of their letters as a sorted table of (node, letter) with the node that follows."""
+
+    def __init__(self, pieces: list[str]):
         self.index = {p: k for k, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces))
-        # Every end of a piece, with the piece's number if it is one itself: where a string is no end of any, no longer
-        # string that ends in the same place can be a piece.
-        self.ends = dict.fromkeys((p[i:] for p in pieces for i in range(len(p))), -1) | self.index
-        self.probs = probs  # pieces x languages
-        self.rows = [tuple(r) for r in probs.tolist()]
-        self.n = probs.shape[1]
-
-    def log_probs(self, words: list[str]) -> list[list[float]]:
-        """log P(word) in each language, for words in sorted order: sums over a common prefix are made once."""
-        ends, rows = self.ends, self.rows
-        out, alpha, last = [], [[1.0] * self.n], ""
-        for word in words:
-            if len(word) > PLAIN_LETTERS:
-                out.append(self.log_prob(word))
-                continue
-            s = MARK + word
-            common = 0
-            for a, b in zip(s, last):
-                if a != b:
-                    break
-                common += 1
-            del alpha[common + 1 :]
-            for j in range(common + 1, len(s) + 1):
-                now = None
-                for i in range(j - 1, -1, -1):
-                    k = ends.get(s[i:j])
-                    if k is not None and k >= 0:
-                        more = map(mul, alpha[i], rows[k])
-                    elif i == j - 1:
-                        more = [v * UNSEEN for v in alpha[i]]
-                    elif k is None:
-                        break
-                    else:
-                        continue
-                    now = list(more) if now is None else list(map(add, now, more))
-                    if k is None:
-                        break
-                alpha.append(now)
-            last = s
-            out.append([log(v) if v > 0 else -800.0 for v in alpha[-1]])
-        return out
-
-    def log_prob(self, word: str) -> list[float]:
-        """log P(word) in each language, of a word of any length."""
-        s = MARK + word
-        index, rows, langs = self.index, self.rows, range(self.n)
-        alpha = [[1.0] * self.n]
-        scale = 0.0
-        for j in range(1, len(s) + 1):
-            now = [0.0] * self.n
-            for i in range(max(0, j - self.longest), j):
-                k = index.get(s[i:j])
-                if k is not None:
-                    p, a = rows[k], alpha[i]
-                    for x in langs:
-                        now[x] += a[x] * p[x]
-                elif i == j - 1:
-                    a = alpha[i]
-                    for x in langs:
-                        now[x] += a[x] * UNSEEN
-            alpha.append(now)
-            if max(now) < 1e-150:
-                scale -= log(1e150)
-                for i in range(max(0, j - self.longest), j + 1):
-                    alpha[i] = [v * 1e150 for v in alpha[i]]
-        return [(log(v) if v > 0 else -800.0) + scale for v in alpha[-1]]
-
-    def expect(self, word: str, weights: np.ndarray, into: np.ndarray) -> None:
-        """Add to `into` how often each piece is expected in `word`, times the word's weight in each language."""
-        s = MARK + word
-        n = len(s)
-        hits = [(i, j, self.index.get(s[i:j], -1)) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
-        hits = [(i, j, k) for i, j, k in hits if k >= 0 or i == j - 1]
-        unseen = np.full(self.n, UNSEEN)
-        alpha, beta = np.zeros((n + 1, self.n)), np.zeros((n + 1, self.n))
-        alpha[0], beta[n] = 1, 1
-        for i, j, k in hits:
-            alpha[j] += alpha[i] * (self.probs[k] if k >= 0 else unseen)
-        for i, j, k in reversed(hits):
-            beta[i] += beta[j] * (self.probs[k] if k >= 0 else unseen)
-        whole = alpha[n]
-        if not (whole > 0).all():
-            return
-        w = weights / whole
-        for i, j, k in hits:
-            if k >= 0:
-                into[k] += w * alpha[i] * self.probs[k] * beta[j]
+        nodes, follows = [-1], {}
+        for p, k in self.index.items():
+            at = 0
+            for letter in p:
+                key = at << 21 | ord(letter)
+                if key not in follows:
+                    follows[key] = len(nodes)
+                    nodes.append(-1)
+                at = follows[key]
+            nodes[at] = k
+        self.piece = np.array(nodes)
+        self.keys = np.array(sorted(follows))
+        self.next = np.array([follows[k] for k in self.keys.tolist()])
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node after one more letter; -1 where no piece goes on like that."""
+        key = state << 21 | letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
 
 
 class _Known:
@@ -159,9 +168,9 @@ class _Known:
     words that are still in use come back from there. Lives on from task to task."""
 
     def __init__(self, model: tuple[list[str], np.ndarray]):
-        self.model, self.segmenter = model, Segmenter(*model)
+        self.model, self.vocabulary, self.probs = model, Vocabulary(model[0]), model[1]
         self.at: dict[str, int] = {}
-        self.table = np.zeros((2 * CACHE_WORDS, self.segmenter.n))
+        self.table = np.zeros((2 * CACHE_WORDS, self.probs.shape[1]))
         self.old: dict[str, int] = {}
         self.old_table = self.table[:0]
 
@@ -170,17 +179,18 @@ class _Known:
         if len(self.at) > CACHE_WORDS:
             self.old, self.old_table = self.at, self.table[: len(self.at)].copy()
             self.at = {}
-        new = sorted(words.difference(self.at))
+        new = words.difference(self.at)
+        back = [w for w in new if w in self.old]
+        fresh = list(new.difference(back))
         first = len(self.at)
-        self.at.update(zip(new, range(first, first + len(new))))
-        while len(self.table) < len(self.at):
+        while len(self.table) < first + len(new):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        fresh = [w for w in new if w not in self.old]
-        if len(fresh) < len(new):
-            back = [w for w in new if w in self.old]
-            self.table[[self.at[w] for w in back]] = self.old_table[[self.old[w] for w in back]]
-        if fresh:
-            self.table[[self.at[w] for w in fresh]] = self.segmenter.log_probs(fresh)
+        for part in parts_of(fresh):
+            self.table[first : first + len(part)] = Lattice(self.vocabulary, part).log_probs(self.probs)
+            self.at.update(zip(part, range(first, first + len(part))))
+            first += len(part)
+        self.table[first : first + len(back)] = self.old_table[[self.old[w] for w in back]]
+        self.at.update(zip(back, range(first, first + len(back))))
 
 
 _latest: list[_Known] = []
@@ -192,49 +202,95 @@ def _known(model: tuple[list[str], np.ndarray]) -> _Known:
     return _latest[0]
 
 
-def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, word, n) over all rows. Words are counted in each task before the shuffle, in tables of bounded size."""
+def parts_of(words: list[str]) -> Iterator[list[str]]:
+    """The words in lists of about LETTERS_AT_ONCE letters, short ones first, so that a lattice has little to skip."""
+    part, size = [], 0
+    for w in sorted(words, key=lambda w: (len(w), w)):
+        part.append(w)
+        size += len(w) + 1
+        if size >= LETTERS_AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """(word, n): for each word of the rows (text, lang), how often each language has it, in the order of `langs`.
+
+    Words are counted in each task before the shuffle, in tables of bounded size. A run of more than STRETCH letters
+    counts as words of that many."""
+    at = {x: k for k, x in enumerate(langs)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, Counter] = defaultdict(Counter)
+        counts: dict[int, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pd.DataFrame]:
             for lang, own in counts.items():
                 if own:
-                    yield pd.DataFrame({"lang": [lang] * len(own), "word": list(own), "n": list(own.values())})
+                    yield pd.DataFrame({"k": np.full(len(own), lang), "word": list(own), "n": list(own.values())})
             counts.clear()
 
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"]):
-                counts[lang].update(words_of(text))
+                words = words_of(text)
+                if any(len(w) > STRETCH for w in words):
+                    words = [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
+                counts[at[lang]].update(words)
                 if sum(map(len, counts.values())) > COUNTED_WORDS:
                     yield from out()
         yield from out()
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return rows.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    each = rows.mapInPandas(run, "k long, word string, n long").groupBy("word")
+    return each.agg(F.array(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)) for k in range(len(langs))]).alias("n"))
+
+
+def expectation(counts: DataFrame, vocabulary: list[str], probs: np.ndarray) -> np.ndarray:
+    """Expected counts (pieces x languages) over all words of a table of counts. Each task adds up its own words' before
+    the shuffle; what comes to the driver is one row a piece."""
+    shared = counts.sparkSession.sparkContext.broadcast((vocabulary, probs))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, probs = shared.value
+        known = Vocabulary(pieces)
+        seen = np.zeros_like(probs)
+        for frame in frames:
+            own = dict(zip(frame["word"], frame["n"]))
+            for part in parts_of(list(own)):
+                seen += Lattice(known, part).expect(probs, np.array([own[w] for w in part], np.float64))
+        k, x = np.nonzero(seen)
+        yield pd.DataFrame({"k": k, "x": x, "v": seen[k, x]})
+
+    # Sums of doubles depend on their order, by less than is kept here.
+    total = F.sum(F.col("v").cast("decimal(30, 6)")).cast("double")
+    rows = counts.mapInPandas(run, "k int, x int, v double").groupBy("k", "x").agg(total.alias("v")).toPandas()
+    out = np.zeros_like(probs)
+    out[rows["k"], rows["x"]] = rows["v"]
+    return out
+
+
+def sample(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], DataFrame]:
+    """The languages, and (text, lang) of about FIT_ROWS distinct texts of each: those with the least hashes, or all if
+    a language has no more. Of more than MAX_LANGUAGES labels, those with the most rows are learned (of equal ones, the
+    first in order). The sample depends on the texts alone, not on how rows lie in partitions."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    labels = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    part = F.lit(None)
+    for r in labels:
+        part = F.when(F.col("lang") == r["lang"], min(1.0, FIT_ROWS / r["n"])).otherwise(part)
+    least = F.xxhash64("text").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    return sorted(r["lang"] for r in labels), rows.where(least <= part).distinct()
 
 
 def fit(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities (pieces x languages) from rows with a language."""
-    counts = word_counts(docs.where(F.col(lang_col).isNotNull()), text_col, lang_col)
-    # Words of up to 64 letters, in a fixed order, so that the same corpus gives the same sums.
-    counts = checkpoint(counts.where(F.length("word") <= 64))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the model holds {MAX_LANGUAGES}")
-    if not langs:
-        return [], np.zeros((len(pieces), 0))
-    top = sorted(most_frequent_each(counts, "lang", "word", "n", FIT_WORDS // len(langs)).collect())
-    at = {x: k for k, x in enumerate(langs)}
-    weights: dict[str, np.ndarray] = {}
-    for r in top:
-        weights.setdefault(r["word"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
+    """Languages and piece probabilities (pieces x languages) from all words of a sample of the rows with a language."""
+    langs, rows = sample(docs, text_col, lang_col)
     probs = np.full((len(pieces), len(langs)), 1 / len(pieces))
+    if not langs:
+        return [], probs
+    counts = checkpoint(word_counts(rows, langs))
     for _ in range(ROUNDS):
-        seen, model = np.full_like(probs, PRIOR), Segmenter(pieces, probs)
-        for word, w in weights.items():
-            model.expect(word, w, seen)
+        seen = PRIOR + expectation(counts, pieces, probs)
         probs = seen / seen.sum(axis=0)
     return langs, probs
 
@@ -280,7 +336,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the rows that aren't held out and predict for all: the columns of `docs`, held_out, lang_pred, score."""
+    """Learn from the rows that aren't held out and predict for all: the columns of `docs`, held_out, lang_pred, score.
+
+    Columns of those three names in the input are replaced. A null, empty or letterless text gets "und" and score 0; of
+    languages with equal posteriors the first in order is predicted. Repeated rows are judged each, and counted each when
+    learned from. A row without a language teaches nothing; a row without an id is learned from. Whole texts are read,
+    however long. An empty table gives an empty result.
+    """
     pieces = load_pieces(vocabulary_path)
     langs, probs = fit(docs.where(F.coalesce(~held_out(id_col), F.lit(True))), pieces, text_col, lang_col)
     return predict(docs.withColumn("held_out", F.coalesce(held_out(id_col), F.lit(False))), pieces, langs, probs, text_col)

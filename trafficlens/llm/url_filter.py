@@ -113,7 +113,7 @@ def unigrams(pages: DataFrame, html_col: str) -> dict[str, int]:
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^<>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in most_frequent(counts, "n", UNIGRAMS).collect()}
+    return {r["word"]: r["n"] for r in most_frequent(counts, "n", "word", UNIGRAMS).collect()}
 
 
 def fit(labelled: DataFrame, counts: dict[str, int]) -> dict:
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, counts: dict[str, int]) -> dict:
     table = checkpoint(each.groupBy("token").agg(*by, F.sum("n").alias("n")))
     # The empty token counts the urls themselves.
     urls = next(((r["allow"], r["block"]) for r in table.where("token = ''").collect()), (0, 0))
-    rows = sorted(most_frequent(table.where("token <> ''"), "n", FEATURES).collect())
+    rows = sorted(most_frequent(table.where("token <> ''"), "n", "token", FEATURES).collect())
     sums = [sum(r[v] for r in rows) + len(rows) + 1 for v in VERDICTS]
     return {
         "prior": [log((n + 1) / (sum(urls) + 2)) for n in urls],

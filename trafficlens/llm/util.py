@@ -61,43 +61,6 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))  # the same value; + 0 would be optimised away
 
 
-def most_frequent(counts: DataFrame, n: str, k: int) -> DataFrame:
-    """The rows of a table of counts with the largest counts, as many whole steps of the count as `k` rows hold.
-
-    Rows seen once are left out. No row is sorted or sent anywhere but the at most `k` that are kept: the smallest
-    count that stays is found in the histogram of counts.
-    """
-    seen = checkpoint(counts.where(F.col(n) > 1))
-    histogram = seen.groupBy(n).agg(F.count(F.lit(1)).alias("__rows"))
-    running = F.sum("__rows").over(Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    least = histogram.withColumn("__sum", running).where(F.col("__sum") <= k).agg(F.min(n)).first()[0]
-    return seen.where(F.col(n) >= F.lit(least)) if least is not None else seen.limit(0)
-
-
-def most_frequent_each(counts: DataFrame, group: str, word: str, n: str, k: int, slices: int = 4096) -> DataFrame:
-    """Of a checkpointed table of counts (group, word, n), the `k` rows of each group with the largest counts.
-
-    Inside the last step of the count, which may be 1, rows go by the word's hash, then by the word, so the choice
-    depends on the data alone. No group is sorted in one task: a histogram of counts finds the step, one of hashes the
-    slice, and only that slice's rows are ranked.
-    """
-    def placed(rows: DataFrame, keys: list[str], by: Column, room: Column) -> DataFrame:
-        """For each `keys[0]`, the first step in order that doesn't fit in `room` whole, and the room left there."""
-        order = Window.partitionBy(keys[0]).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = rows.withColumn("__sum", F.sum("__rows").over(order)).where(F.col("__sum") > room)
-        first = F.row_number().over(Window.partitionBy(keys[0]).orderBy(by))
-        left = (room - F.col("__sum") + F.col("__rows")).alias("__left")
-        return run.withColumn("__turn", first).where("__turn = 1").select(*keys, left)
-
-    steps = counts.groupBy(group, n).agg(F.count(F.lit(1)).alias("__rows"))
-    cut = checkpoint(placed(steps, [group, n], F.desc(n), F.lit(k)).withColumnRenamed(n, "__cut"))
-    seen = counts.join(F.broadcast(cut), group, "left")  # one row a group
-    above = seen.where(F.col("__cut").isNull() | (F.col(n) > F.col("__cut"))).select(*counts.columns)
-    step = seen.where(F.col(n) == F.col("__cut")).withColumn("__slice", F.pmod(F.xxhash64(word), F.lit(slices)))
-    held = step.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("__rows"), F.first("__left").alias("__room"))
-    at = placed(held, [group, "__slice"], F.asc("__slice"), F.col("__room")).select(group, F.col("__slice").alias("__last"), F.col("__left").alias("__rest"))
-    last = step.join(F.broadcast(at), group)
-    whole = last.where("__slice < __last").select(*counts.columns)
-    rank = F.row_number().over(Window.partitionBy(group, "__slice").orderBy(word))
-    some = last.where("__slice = __last").withColumn("__rank", rank).where("__rank <= __rest").select(*counts.columns)
-    return above.unionByName(whole).unionByName(some)
+def most_frequent(counts: DataFrame, n: str, word: str, k: int) -> DataFrame:
+    """The `k` rows of a table of counts with the largest counts; of equal ones, the first in order of `word`."""
+    return counts.orderBy(F.desc(n), word).limit(k)  # each task sends on at most k rows
