@@ -44,7 +44,7 @@ def test_exact_dedup_equals_grouping(spark):
     texts = EDGE_TEXTS + [r.choice(EDGE_TEXTS) for _ in range(40)] + [str(r.randrange(20)) * r.randrange(1, 3000) for _ in range(60)]
     rows = [(r.randrange(10**6), t, "s", 1, "clash") for t in texts] + [(77, "same", "s", 1, "clash")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, group_size int, __name string")
-    got = exact_dedup.exact_dedup(df.drop("__name"), block_bytes=1024).collect()
+    got = exact_dedup.exact_dedup(df, block_bytes=1024).collect()
     assert len(got) == len(rows)
     groups = {}
     for i, t, *_ in rows:
@@ -59,6 +59,14 @@ def test_exact_dedup_equals_grouping(spark):
     assert len(names) == len({g["text_sha256"] for g in got}) or len(names) <= len(groups)
 
 
+def test_exact_dedup_with_names_that_the_operator_uses(spark):
+    extra = ["__name", "__level", "__n_bytes", "__sha256", "__rid", "__bytes", "__row", "text", "id", "__top"]
+    df = spark.createDataFrame([(1, "a", *extra), (2, "a", *extra), (None, None, *extra)], ["doc_id", "body", *extra])
+    got = exact_dedup.exact_dedup(df, text_col="body").collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"], r["kept"]) for r in got) == [(0, None, True), (1, 2, False), (2, 2, True)]
+    assert all(r[c] == c for r in got for c in extra)
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -44,18 +44,18 @@ def _name_pairs(nodes: DataFrame) -> DataFrame:
     return up.select("__rid", (F.floor((F.col("__left") + 1) / 2)).cast("long").alias("__left"), F.col("__up").alias("__i"), "__name")
 
 
-def identities(docs: DataFrame, text: Column, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def identities(docs: DataFrame, text: Column, keep: list[str], block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows with a row id, and (__rid, __level, __name): the identity of each row's text.
 
-    Returns (base, identity). base has every column but the text, plus __rid, __n_bytes and __sha256; it is
-    checkpointed, since row ids must not change when a task runs again.
+    Returns (base, identity). base has the columns of `keep` inside the struct __row, so that their names can't clash,
+    __rid, __n_bytes and __sha256; it is checkpointed, since row ids must not change when a task runs again.
     """
-    raw = with_row_id(docs.withColumn("__bytes", text_bytes(text)), "__rid")
+    raw = with_row_id(docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), text_bytes(text).alias("__bytes")), "__rid")
     n = F.octet_length("__bytes").cast("long")
     piece = lambda i: F.unhex(F.sha2(F.substring(F.col("__bytes"), (i * F.lit(block_bytes) + F.lit(1)).cast("int"), F.lit(block_bytes)), 256))
     base = checkpoint(
         raw.select(
-            *[c for c in docs.columns if c != "text"],
+            "__row",
             "__rid",
             n.alias("__n_bytes"),
             F.sha2("__bytes", 256).alias("__sha256"),
@@ -90,22 +90,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns one row per input row: all its columns but the text, and keep_id (the largest id of the group),
     group_size, kept, text_sha256, class_name and class_level (the text's name and the level it was given on).
-    A null text counts as empty; empty texts equal each other. Of rows with the same id and text one is kept.
-    An empty table gives an empty result. Columns of the input that clash with the new ones are replaced.
+    A null text counts as empty; empty texts equal each other. Null ids are the smallest. Of rows with the same id and
+    text one is kept. A very long text is as many blocks. An empty table gives an empty result. Columns of the input
+    that have the names of the new ones are replaced; other names, whatever they are, don't clash.
     """
     new = ["keep_id", "group_size", "kept", "text_sha256", "class_name", "class_level"]
-    lean = docs.select(*[c for c in docs.columns if c not in new and c != text_col], F.col(text_col).alias("text"))
-    base, identity = identities(lean, F.col("text"), block_bytes)
+    keep = [c for c in docs.columns if c not in new and c != text_col]
+    base, identity = identities(docs, docs[text_col], keep, block_bytes)
     named = base.drop("__digests").join(identity, "__rid")
+    own = F.col("__row").getField(id_col)
     groups = named.groupBy("__n_bytes", "__level", "__name").agg(
-        F.max(F.struct(F.col(id_col), F.col("__rid"))).alias("__top"), F.count(F.lit(1)).alias("group_size")
+        F.max(F.struct(own.alias("id"), F.col("__rid").alias("rid"))).alias("__top"), F.count(F.lit(1)).alias("__size")
     )
     out = named.join(dealt_anew(groups, "__name"), ["__n_bytes", "__level", "__name"])
     return out.select(
-        *[c for c in lean.columns if c != "text"],
-        F.col(f"__top.{id_col}").alias("keep_id"),
-        "group_size",
-        (F.col("__rid") == F.col("__top.__rid")).alias("kept"),
+        *[F.col("__row").getField(c).alias(c) for c in keep],
+        F.col("__top.id").alias("keep_id"),
+        F.col("__size").alias("group_size"),
+        (F.col("__rid") == F.col("__top.rid")).alias("kept"),
         F.col("__sha256").alias("text_sha256"),
         F.col("__name").alias("class_name"),
         F.col("__level").alias("class_level"),

@@ -24,19 +24,21 @@ ROOT = "__root"
 NULL_NODE = "(null)"
 
 
-def _weights(path: list[str], weights: Mapping[tuple[str, ...], int]) -> Column:
+def _weights(path: list[str], weights: Mapping[tuple[str, ...], float]) -> Column:
     """The weight of the node at `path`; nodes that have none get 1. The table of weights is a parameter."""
-    own = {k: v for k, v in weights.items() if len(k) == len(path)}
+    own = {k: float(v) for k, v in weights.items() if len(k) == len(path)}
+    if any(not 0 <= w < float("inf") for w in own.values()):
+        raise ValueError("weights are finite numbers from 0 on")
     if not own:
-        return F.lit(1).cast("long")
+        return F.lit(1.0)
     cases = None
     for node, weight in sorted(own.items()):
         hit = None
         for column, value in zip(path, node, strict=True):
             test = F.col(column) == F.lit(value)
             hit = test if hit is None else hit & test
-        cases = F.when(hit, F.lit(int(weight))) if cases is None else cases.when(hit, F.lit(int(weight)))
-    return cases.otherwise(F.lit(1)).cast("long")
+        cases = F.when(hit, F.lit(weight)) if cases is None else cases.when(hit, F.lit(weight))
+    return cases.otherwise(F.lit(1.0))
 
 
 def _share(children: DataFrame, parent: list[str], node: list[str]) -> DataFrame:
@@ -60,11 +62,13 @@ def _share(children: DataFrame, parent: list[str], node: list[str]) -> DataFrame
 
 
 def leaf_budgets(
-    leaves: DataFrame, levels: list[str], weights: Mapping[tuple[str, ...], int], total: Column, max_epochs: int
+    leaves: DataFrame, levels: list[str], weights: Mapping[tuple[str, ...], float], total: Column, max_epochs: int
 ) -> DataFrame:
     """The budget in tokens of each leaf. `leaves` has the level columns and __tokens; `total` is evaluated
     over one row with the column __all (the tokens of all leaves)."""
     capped = leaves.withColumn("__cap", F.col("__tokens") * F.lit(max_epochs))
+    for depth in range(1, len(levels) + 1):  # what lies below a node of weight zero takes nothing
+        capped = capped.withColumn("__cap", F.when(_weights(levels[:depth], weights) > 0, F.col("__cap")).otherwise(F.lit(0)))
     top = leaves.agg(F.coalesce(F.sum("__tokens"), F.lit(0)).alias("__all")).select(
         F.lit(ROOT).alias(ROOT), F.floor(total).cast("double").alias("__budget")
     )
@@ -73,6 +77,7 @@ def leaf_budgets(
         node = levels[:depth]
         kids = capped.withColumn(ROOT, F.lit(ROOT)).groupBy(ROOT, *node).agg(F.sum("__cap").alias("__cap"))
         kids = kids.withColumn("__w", _weights(node, weights)).join(budgets, parent)
+        kids = kids.withColumn("__w", F.when(F.col("__w") > 0, F.col("__w")).otherwise(F.lit(1.0)))  # its capacity is none
         budgets = _share(kids, parent, node).select(ROOT, *node, F.col("__own").alias("__budget"))
         parent = [ROOT, *node]
     return budgets.drop(ROOT)
@@ -81,7 +86,7 @@ def leaf_budgets(
 def mix(
     docs: DataFrame,
     levels: Mapping[str, Column],
-    weights: Mapping[tuple[str, ...], int],
+    weights: Mapping[tuple[str, ...], float],
     tokens: Column,
     total: Column | None = None,
     max_epochs: int = 4,
@@ -92,10 +97,13 @@ def mix(
 
     `levels` names the tree's levels, from the top, with the column that gives a document's node; null goes to
     the node "(null)". `total` is the budget in tokens as an expression of __all, the tokens of all documents
-    (None: all of them). Returns id, the levels, n_tokens, leaf_tokens, leaf_budget (whole tokens), full_epochs,
+    (None: all of them). Weights are any numbers from 0 on, whole or not; only their ratio among siblings counts, and
+    a node of weight 0 gets nothing. Returns id, the levels, n_tokens, leaf_tokens, leaf_budget (whole tokens), full_epochs,
     in_last_epoch and copies. Documents without tokens are never taken; a budget beyond the tree's capacity
-    fills every leaf. Rows with the same id are ordered by their tokens, so ties change nothing that is kept.
-    An empty table gives an empty result.
+    fills every leaf. Rows with the same id are ordered by their tokens, so ties change nothing that is kept; repeated
+    rows are drawn each. A very long text is taken whole or not at all: one that doesn't fit in what is left of the last
+    epoch ends it. Columns of the input other than those that `levels`, `tokens` and `id_col` read are ignored, so their
+    names can't clash. An empty table gives an empty result.
     """
     names = list(levels)
     flat = docs.select(

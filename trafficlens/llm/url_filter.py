@@ -60,11 +60,11 @@ def path_of(url: Column) -> Column:
 
 def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
     """The longest rule that fits, as a struct (rule, verdict); null if none does."""
-    found = None
-    for r in sorted(rules, key=lambda r: (-len(r.name), r.name)):
+    found = F.lit(None).cast("struct<rule: string, verdict: string>")
+    for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         value = F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))
-        found = F.when(fits, value) if found is None else found.when(fits, value)
+        found = F.when(fits, value).otherwise(found)
     return found
 
 
