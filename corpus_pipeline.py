@@ -11,13 +11,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trafficlens.llm import byte_bpe, language_id
 from trafficlens.llm.exact_dedup import exact_dedup
-from trafficlens.llm.similar import simhash_similar
 from trafficlens.llm.mixing import mix
 from trafficlens.llm.queries import BYTE_RANKS, MIX_SEED, PIECES, mix_levels, word_count
+from trafficlens.llm.similar import simhash_similar
 from trafficlens.llm.util import checkpoint
 from trafficlens.session import table
 
@@ -30,37 +29,57 @@ WEIGHTS = {("web",): 3, ("forum",): 2, ("reference",): 2, ("web", "en"): 3, ("we
 EPOCHS = 4
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row, doc_id, text): rows with equal ids and texts share a key; a null id or text has one too. The whole row is
+    in a struct, so that no extra column clashes with those of an operator."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(text.cast("binary"), 256))
+    return docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def rows_of(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is clear. Null texts and texts without a letter have none."""
-    judged = language_id.identify(docs, public_tokenizers.path(PIECES))
-    return judged.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keep the documents whose language is clear. Null, empty and letterless texts have none. Whole texts are judged,
+    however long; repeated rows and ties are judged alike, so all of them stay or go."""
+    judged = language_id.identify(keyed(docs).withColumn("lang", F.col("row.lang")), public_tokenizers.path(PIECES))
+    return rows_of(judged.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts keep the one with the largest doc_id; of equal rows one."""
-    stay = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy("doc_id"))
-    return keyed.join(stay, ["doc_id", "__sha"], "left_semi").withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+    """Of documents with equal texts keep the one with the largest doc_id (null ids are the smallest; a null text equals
+    an empty one); of rows with equal ids and texts, any one. Texts are compared whole, however long."""
+    found = exact_dedup(docs.select("doc_id", "text")).where("kept")
+    stay = found.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("key"))
+    once = keyed(docs).groupBy("key").agg(F.first("row").alias("row"))  # repeats meet before the shuffle
+    return rows_of(once.join(stay, "key", "left_semi"), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document with the smallest doc_id."""
-    stay = simhash_similar(docs, width=SHINGLE_WORDS, least=LEAST_SIMILARITY).where("kept")
-    return docs.join(stay.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies keep the document with the smallest doc_id; null ids only where there is no other.
+    Null and wordless texts are one group. Rows with equal ids and texts stay or go together."""
+    found = simhash_similar(docs.select("doc_id", "text"), width=SHINGLE_WORDS, least=LEAST_SIMILARITY).where("kept")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lower(F.hex("text_sha256")))
+    return rows_of(keyed(docs).join(found.select(key.alias("key")).distinct(), "key", "left_semi"), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents to the target weights; a document that is taken in several epochs comes as often."""
-    taken = mix(docs, mix_levels(), WEIGHTS, word_count(), max_epochs=EPOCHS, seed=MIX_SEED).where("copies > 0")
-    times = taken.groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    spread = docs.join(times, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return spread.select(*docs.columns)
+    """Take documents to the target weights; a document that is taken in several epochs comes as often. Null, empty and
+    wordless texts have no token and are never taken. Rows with equal ids and texts come as often as the least of them."""
+    rows = keyed(docs).withColumn("source", F.col("row.source")).withColumn("lang", F.col("row.lang"))
+    taken = mix(rows, mix_levels(), WEIGHTS, word_count(), max_epochs=EPOCHS, seed=MIX_SEED, id_col="key")
+    times = taken.groupBy("key").agg(F.min("copies").alias("copies")).where("copies > 0")
+    spread = keyed(docs).join(times, "key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows_of(spread, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document's whole text, and digests that show that they decode to it."""
-    both = byte_bpe.encode(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded=True)
+    """Token ids of each document's whole text, and digests that show that they decode to it. Null texts count as empty
+    and have no token; repeated rows are encoded each; other columns are ignored."""
+    rows = docs.select("doc_id", "text")
+    both = byte_bpe.encode(rows, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -72,7 +91,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokens),
 ]
 
-#: SQL can't express language ID or fingerprint linking; tests/llm/test_pipeline.py holds run() against brute force.
+#: SQL can't express language ID or fingerprints; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
