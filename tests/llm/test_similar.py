@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
 from trafficlens.llm import similar
@@ -66,12 +67,14 @@ def test_a_group_that_no_single_member_joins(spark):
     assert got == {0} and not alike(grams(rows[0][1]), grams(rows[3][1]))
 
 
-def test_large_buckets_are_dealt_out(spark, monkeypatch):
+@pytest.mark.parametrize("small,most", [(2, 8), (1, 4096)])
+def test_large_buckets_are_dealt_out(spark, monkeypatch, small, most):
     """The same components where every bucket is beyond bucket_rows, and texts of 0.7 to 0.8 in one bucket stay apart."""
     monkeypatch.setattr(similar, "MEAN_BUCKET", 10_000)
+    monkeypatch.setattr(similar, "SMALL", small)
     rows = corpus()
     df = spark.createDataFrame([(t, i, 1, 2, 3) for i, t in rows], "text string, doc_id long, c int, vertex int, sha int")
-    got = {r["doc_id"]: r["component_id"] for r in similar.simhash_similar(df, bucket_rows=8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.simhash_similar(df, bucket_rows=most).collect()}
     assert got == brute(rows)
 
 

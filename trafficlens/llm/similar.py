@@ -8,8 +8,9 @@ bucket key. There are as many samples as keep a pair right at the least similari
 
 In a bucket, the Gray-order index over the next number of the fingerprint finds the pairs within the number of bits that
 such a pair stays below with probability `WITHIN`. A pair so proposed links if its sets of shingles are similar enough,
-by counting. First each bucket proposes a spanning forest, so a large group of near copies becomes one component
-without being paired up; then all proposed pairs that are still in two components are counted.
+by counting. Where more than `SMALL` rows of a bucket hang together, they first propose a spanning forest, so a large
+group of near copies becomes one component without being paired up; then those of their pairs are counted that are still
+in two components.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ MISS = 0.005
 WITHIN = 0.97
 #: The samples are so long that a bucket of evenly spread fingerprints has about so many rows.
 MEAN_BUCKET = 64
+SMALL = 8
+#: So many digests of texts, 40 bytes each, may go to all executors.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -90,40 +94,72 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return docs.select(F.col(id_col).alias("id"), text_sha(text_col).alias("sha"), of(F.col(text_col)).alias("of")).select("id", "sha", "of.*")
 
 
-def _proposed(max_bits: int, least: tuple[int, int], forest: bool):
-    """The task of a partition: rows (key, one, two, side, vertex, n, c, fp), sorted by bucket, to pairs (u, v) that may link.
+def _pairs_within(rows: pd.DataFrame, index, max_bits: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs in different components that the index finds within `max_bits`, of sizes that can link.
 
-    side is 1 and 2 for the two chunks of a bucket that meet, and 3 for rows that are compared with all; c is the component."""
+    side is 1 and 2 for the two chunks of a bucket that meet, and 3 for rows that are compared with all."""
     p, q = least
+    n, c, side = (rows[x].to_numpy() for x in ("n", "c", "side"))
+    found = [np.empty((2, 0), np.int64)]
+    for a, b in index.all_links(max_bits) if len(rows) else ():
+        on = (c[a] != c[b]) & (side[a] | side[b] == 3) & (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b]))
+        found.append(np.stack([a[on], b[on]]))
+    return tuple(np.concatenate(found, axis=1))
 
-    def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
-        rows, index = simhash.sorted_forest(rows, first)
-        vertex, n, c, side = (rows[x].to_numpy() for x in ("vertex", "n", "c", "side"))
-        found = [np.empty((2, 0), np.int64)]
-        for a, b in index.all_links(max_bits) if len(rows) else ():
-            on = (c[a] != c[b]) & (side[a] | side[b] == 3) & (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b]))
-            found.append(np.stack([a[on], b[on]]))
-        a, b = np.concatenate(found, axis=1)
-        if forest:
-            label = _forest(len(rows), a, b)
-            a = np.flatnonzero(label != np.arange(len(rows)))
-            b = label[a]
-        return pd.DataFrame({"u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b])}).drop_duplicates()
 
-    return lambda frames: simhash.whole_buckets(frames, ["key", "one", "two"], of)
+def _first(max_bits: int, least: tuple[int, int]):
+    """The task of a partition: rows (key, one, whole, vertex, n, fp), sorted by bucket, to pairs (u, v) that may link.
 
+    What up to SMALL rows of a bucket propose are all their pairs. More rows that hang together propose a spanning forest,
+    and come out themselves as rows (key, u, n, fp) of a group that is not settled; so do all rows of a large bucket."""
 
-def _pairs(rows: DataFrame, max_bits: int, least: tuple[int, int], forest: bool) -> DataFrame:
-    spread = rows.repartition(partitions(rows.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return spread.mapInPandas(_proposed(max_bits, least, forest), "u long, v long").distinct()
+    def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        rows, index = simhash.sorted_forest(rows, first)
+        rows = rows.assign(side=3, c=rows["vertex"])
+        a, b = _pairs_within(rows, index, max_bits, least)
+        label = _forest(len(rows), a, b)
+        size = np.bincount(label, minlength=len(rows))[label]
+        few = size[a] <= SMALL
+        top = np.flatnonzero((label != np.arange(len(rows))) & (size > SMALL))
+        a, b = np.r_[a[few], top], np.r_[b[few], label[top]]
+        vertex, fp, n = (rows[x].to_numpy() for x in ("vertex", "fp", "n"))
+        pairs = pd.DataFrame({"key": 0, "u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b]), "n": 0, "fp": 0})
+        whole = rows["whole"].to_numpy()
+        open_ = np.flatnonzero((size > SMALL) | ~whole)
+        key = rows["key"].to_numpy()[open_] ^ np.where(whole, vertex[label], 0)[open_] * 0x9E3779B97F4A7C1  # any number that tells groups apart
+        rest = pd.DataFrame({"key": key, "u": vertex[open_], "v": -1, "n": n[open_], "fp": fp[open_]})
+        return pd.concat([pairs.drop_duplicates(), rest])
+
+    return lambda frames: simhash.whole_buckets(frames, ["key", "one"], of)
+
+
+def _propose(buckets: DataFrame, max_bits: int, least: tuple[int, int], bucket_rows: int) -> DataFrame:
+    """(key, u, v, n, fp): the pairs (v >= 0) and the rows that are not settled (v = -1).
+
+    Each bucket is one task or, if it is large, several of a chunk each, which differ from sample to sample."""
+    large = checkpoint(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bucket_rows))
+    if large.isEmpty():
+        dealt = buckets.select("key", F.lit(0).alias("one"), F.lit(True).alias("whole"), "vertex", "n", "fp")
+    else:
+        sized = buckets.join(dealt_anew(large, "key"), "key", "left")
+        chunk = F.pmod(F.xxhash64("key", "vertex"), F.ceil(F.col("m") / F.lit(bucket_rows))).cast("int")
+        dealt = sized.select("key", F.coalesce(chunk, F.lit(0)).alias("one"), F.col("m").isNull().alias("whole"), "vertex", "n", "fp")
+    spread = dealt.repartition(partitions(buckets.sparkSession), "key", "one").sortWithinPartitions("key", "one")
+    return checkpoint(spread.mapInPandas(_first(max_bits, least), "key long, u long, v long, n int, fp long"))
+
+
+def _rest(rows: DataFrame, max_bits: int, least: tuple[int, int]) -> DataFrame:
+    """(u, v): of rows (key, one, two, side, vertex, n, c, fp), all pairs in different components that may link."""
 
+    def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        rows, index = simhash.sorted_forest(rows, first)
+        a, b = _pairs_within(rows, index, max_bits, least)
+        vertex = rows["vertex"].to_numpy()
+        return pd.DataFrame({"u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b])}).drop_duplicates()
 
-def _forests(buckets: DataFrame, bucket_rows: int) -> DataFrame:
-    """Each bucket as one task or, if it is large, as chunks that differ from sample to sample."""
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sized = buckets.join(dealt_anew(sizes, "key"), "key")
-    chunk = F.pmod(F.xxhash64("key", "vertex"), F.ceil(F.col("m") / F.lit(bucket_rows))).cast("int")
-    return sized.select("key", chunk.alias("one"), F.lit(0).alias("two"), F.lit(3).alias("side"), "vertex", "n", F.col("vertex").alias("c"), "fp")
+    by = ["key", "one", "two"]
+    spread = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    return spread.mapInPandas(lambda frames: simhash.whole_buckets(frames, by, of), "u long, v long").distinct()
 
 
 def _remaining(buckets: DataFrame, found: DataFrame, bucket_rows: int) -> DataFrame:
@@ -181,7 +217,7 @@ def simhash_similar(
     twice: only texts that are in a proposed pair have their shingles sent anywhere.
     """
     rows = checkpoint(_described(docs, id_col, text_col, width))
-    one = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.min("sha").alias("sha"), F.min("n").alias("n"), F.min("words").alias("words"))
+    one = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.min("sha").alias("sha"), F.min("n").cast("int").alias("n"), F.min("words").alias("words"))
     vertices = checkpoint(with_row_id(one, "vertex"))
     keys, max_bits = samples(vertices.count(), least)
     sample = [
@@ -199,15 +235,20 @@ def simhash_similar(
     def links(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.col("u").alias("vertex")).unionByName(pairs.select(F.col("v").alias("vertex"))).distinct()
         texts = docs.select(text_sha(text_col).alias("sha"), F.col(text_col).alias("text"))
-        own = texts.join(met.join(vertices.select("vertex", "sha"), "vertex"), "sha")
+        met = checkpoint(met.join(vertices.select("vertex", "sha"), "vertex"))
+        # Few texts in pairs: their digests go to the texts. Otherwise the texts are shuffled.
+        own = texts.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "sha")
         sets = checkpoint(own.groupBy("vertex").agg(F.min("text").alias("text")).select("vertex", shingles("text").alias("shingles")))
         return checkpoint(_linked(pairs, sets, least))
 
-    first = links(checkpoint(_pairs(_forests(buckets, bucket_rows), max_bits, least, True)))
+    proposed = _propose(buckets, max_bits, least, bucket_rows)
+    tried = checkpoint(proposed.where("v >= 0").select("u", "v").distinct())
+    first = links(tried)
     found = components(first)
-    second = links(checkpoint(_pairs(_remaining(buckets, found, bucket_rows), max_bits, least, False)))
-    if not second.isEmpty():
-        found = components(first.unionByName(second))
+    unsettled = proposed.where("v < 0").select("key", F.col("u").alias("vertex"), "n", "fp")
+    more = checkpoint(_rest(_remaining(unsettled, found, bucket_rows), max_bits, least).join(tried, ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        found = components(first.unionByName(links(more)))
 
     classes = vertices.join(found, "vertex", "left").select("digest", "rep", F.coalesce("component", "vertex").alias("c"))
     smallest = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
