@@ -317,3 +317,54 @@ def test_sources_by_settings(spark):
     a, b = spark.range(2), spark.range(3)
     assert control.loaded(a, b, True, True, True).count() == 5 and control.loaded(a, b, True, False, True).count() == 3
     assert control.loaded(a, b, False, True, True) is None and control.loaded(None, b, True, True, False) is None
+
+
+def _probes(*runs):
+    """Events of one backend from (start, seconds between, probes, ok, requests in the window)."""
+    return [("b", at + k * step, "probe", ok, total, 0.0) for at, step, n, ok, total in runs for k in range(n)]
+
+
+@pytest.mark.parametrize(
+    "events,moves",
+    [
+        # Quarantine sets the counts to zero: an hour later one failure doesn't kill, the sixth does.
+        (_probes((0, 10, 6, False, 0), (3700, 10, 5, False, 0)), ["quarantine"]),
+        (_probes((0, 10, 6, False, 0), (3700, 10, 6, False, 0)), ["quarantine", "kill"]),
+        # A healthy backend with requests in the window isn't probed; a sick one is.
+        (_probes((0, 10, 50, False, 1)), []),
+        (_probes((0, 10, 6, False, 0), (100, 10, 6, True, 9)), ["quarantine", "cure"]),
+        (_probes((0, 10, 3, False, 0), (40, 10, 3, False, 1), (80, 10, 3, False, 0)), ["quarantine"]),
+    ],
+)
+def test_probes_by_batch_and_stream_alike(spark, events, moves):
+    from trafficlens.streaming import twins
+
+    df = spark.createDataFrame(events, "backend string, at bigint, kind string, ok boolean, total bigint, err_rate double")
+    got = health.replay(df).collect()[0]
+    now, streamed = ["healthy", 0, 0, 0, 0, 0], []
+    for _, at, kind, ok, total, rate in events:
+        streamed.append(twins.advance(now, at, kind, ok, total, rate))
+    assert [m["move"] for m in got["moves"]] == moves == [m for m in streamed if m]
+    assert (got["state"], got["suc"], got["err"]) == (now[0], now[2], now[3])
+
+
+def test_payloads_that_are_cut_short(spark):
+    from trafficlens.functions import codec
+
+    pairs = F.array(F.struct(F.lit("a").alias("k"), F.lit("b").alias("v")))
+    packed = codec.pack_payload(F.lit("/p"), F.lit(None).cast("string"), pairs, F.lit(404), F.lit(None).cast("array<struct<k: string, v: string>>"), F.lit("body"))
+    data = bytes(spark.range(1).select(packed.alias("p")).first()["p"])
+    assert codec.read_payload(data) == ("/p", "", [{"k": "a", "v": "b"}], 404, [], b"body", None)
+    for k in range(1, len(data) - 4):
+        assert codec.read_payload(data[:k])[-1] == codec.CUT
+    assert codec.read_payload(b"")[-1] == codec.read_payload(None)[-1] == codec.EMPTY
+    rows = spark.createDataFrame([(b"",), (b"\x05\x00\x00\x00ab",), (None,)], "r binary")
+    rules = spark.createDataFrame([("/p",)], "path string")
+    assert {r["error"] for r in codec.unpack_entries(rows, "r", rules).collect()} == {codec.CUT}
+
+
+def test_as_of_takes_the_last_write_before(spark):
+    rows = [("a", f"2024-01-0{d} 0{h}:00:00", 10 * d + h, w) for d, h, w in ((1, 1, True), (1, 2, False), (3, 1, False), (3, 2, True), (3, 3, True), (4, 1, False))]
+    df = spark.createDataFrame([*rows, ("b", "2024-01-03 01:00:00", 99, False)], "key string, ts string, req_id long, w boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r["req_id"]: r["last"] for r in storage.as_of(df, "key", F.col("w"), F.col("req_id"), "last").collect()}
+    assert got == {11: None, 12: 11, 31: 11, 32: 11, 33: 32, 41: 33, 99: None}

@@ -105,3 +105,8 @@ def entry_weight(path: Column, query: Column, body_bytes: Column, request: Colum
 def safe_divide(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0 or either is null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def hex_token(seed: str, of: Column) -> Column:
+    """A token of 16 bytes in hex for each row; the seed takes the place of chance, so that a run can be repeated."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), of.cast("string")))

@@ -23,6 +23,25 @@ def is_error(status: Column, error: Column | None = None) -> Column:
     return bad if error is None else bad | error.isNotNull()
 
 
+def is_healthy(status: Column) -> Column:
+    """What a probe takes for health: an answer with status 200 and no other."""
+    return F.coalesce(status == 200, F.lit(False))
+
+
+def fetch_timeout(header: Column, timeout: Column, max_timeout: Column) -> Column:
+    """The time a fetch may take: the longer one if the request has the header that asks for it, with any value."""
+    return F.when(F.length(F.coalesce(header, F.lit(""))) > 0, max_timeout).otherwise(timeout)
+
+
+def is_throttled(throttles: Column) -> Column:
+    return throttles > 0
+
+
+def healthy_count(states: DataFrame) -> DataFrame:
+    """How many backends are healthy, of how many: one row."""
+    return states.agg(F.count_if(F.col("state") == "healthy").alias("healthy"), F.count(F.lit(1)).alias("total"))
+
+
 def error_windows(requests: DataFrame, width: str) -> DataFrame:
     """Requests, errors and the error rate of each backend in each window."""
     out = requests.groupBy("backend", F.window("ts", width).start.alias("win")).agg(
@@ -105,12 +124,14 @@ def start_state() -> Column:
 def step(s: Column, e: Column) -> Column:
     """One event: (at: unix seconds, kind: "probe" or "window", ok, total, err_rate).
 
-    A probe counts successes or failures in a row. Over PROBES_IN_ROW failures quarantine a healthy backend, and kill
+    total is the number of requests in the window so far. A healthy backend is probed only while it has had none: one
+    with traffic is judged by its error rate. Sick and dead backends are always probed, buried ones never. A probe counts successes or failures in a row. Over PROBES_IN_ROW failures quarantine a healthy backend, and kill
     or bury one that has been down for long enough; as many successes cure a sick one (throttled to a fifth of its
-    rate) and make a dead one sick. A window decides over a healthy backend as decide() does. Throttling, and
-    resurrection, set the probe counts to zero. Nothing happens to a buried backend.
+    rate) and make a dead one sick. A window decides over a healthy backend as decide() does. Quarantine (which closes the
+    backend's rate provider), throttling and resurrection set the probe counts to zero. Nothing happens to a buried backend.
     """
-    probe = e["kind"] == "probe"
+    idle = (s["state"] == "healthy") & (e["total"] <= 0)
+    probe = (e["kind"] == "probe") & (idle | s["state"].isin("sick", "dead"))
     suc = F.when(probe, F.when(e["ok"], s["suc"] + 1).otherwise(0)).otherwise(s["suc"])
     err = F.when(probe, F.when(e["ok"], 0).otherwise(s["err"] + 1)).otherwise(s["err"])
     many_suc, many_err = suc > PROBES_IN_ROW, err > PROBES_IN_ROW
@@ -121,7 +142,7 @@ def step(s: Column, e: Column) -> Column:
         .when(probe & (s["state"] == "sick") & many_err & (e["at"] - s["sicked"] > KILL_SECONDS), "kill")
         .when(probe & (s["state"] == "dead") & many_suc, "resurrect")
         .when(probe & (s["state"] == "dead") & many_err & (e["at"] - s["killed"] > BURY_SECONDS), "bury")
-        .when(probe | (s["state"] != "healthy") | ~busy, F.lit(None).cast("string"))
+        .when((e["kind"] == "probe") | (s["state"] != "healthy") | ~busy, F.lit(None).cast("string"))
         .when(rate >= MAX_ERROR_RATE, "quarantine")
         .when((rate > MIN_ERROR_RATE) & (used < MAX_THROTTLES), "throttle")
         .when(rate >= MIN_ERROR_RATE, "quarantine")
@@ -133,7 +154,7 @@ def step(s: Column, e: Column) -> Column:
         .when(is_("bury"), "buried").otherwise(s["state"])
     )
     throttles = F.when(is_("cure"), MAX_THROTTLES - 1).when(is_("throttle"), used + 1).when(is_("unthrottle"), used - 1).otherwise(used)
-    zero = is_("cure", "throttle", "unthrottle", "resurrect")
+    zero = is_("quarantine", "cure", "throttle", "unthrottle", "resurrect")
     sicked = F.when(is_("quarantine", "resurrect"), e["at"]).when(is_("cure"), 0).otherwise(s["sicked"])
     killed = F.when(is_("kill"), e["at"]).when(is_("quarantine", "resurrect", "cure"), 0).otherwise(s["killed"])
     moved = F.when(move.isNull(), s["moves"]).otherwise(F.concat(s["moves"], F.array(F.struct(e["at"].alias("at"), move.alias("move")))))

@@ -44,9 +44,19 @@ def neighbour_victims(entries: DataFrame, shards: int) -> DataFrame:
     return best.select("shard", F.col("b.from_shard").alias("from_shard"), F.col("b.victim").alias("victim"))
 
 
-def fat_shards(weights: DataFrame, top: int = FAT_SHARDS) -> DataFrame:
-    """The heaviest shards in order, ties by number. One row for each shard: at most as many as there are shards."""
-    order = Window.orderBy(F.desc("mem"), "shard")
+#: Bytes of a pointer, of the balancer itself (without its array of shards) and of one shard's node.
+POINTER_BYTES, BALANCER_BYTES, NODE_BYTES = 8, 40, 40
+
+
+def balancer_overhead(weights: DataFrame, shards: int) -> DataFrame:
+    """The bytes that the lists themselves take: for all shards a pointer twice and a node, and a pointer for each listed one."""
+    fixed = BALANCER_BYTES + shards * (2 * POINTER_BYTES + NODE_BYTES)
+    return weights.agg((F.lit(fixed) + F.count(F.lit(1)) * F.lit(POINTER_BYTES)).cast("bigint").alias("mem"))
+
+
+def fat_shards(weights: DataFrame, top: int = FAT_SHARDS, ascending: bool = False) -> DataFrame:
+    """The heaviest shards in order (or the lightest), ties by number. At most as many rows as there are shards."""
+    order = Window.orderBy(F.asc("mem") if ascending else F.desc("mem"), "shard")
     return weights.withColumn("shard_rank", F.row_number().over(order)).where(F.col("shard_rank") <= top)
 
 
@@ -112,6 +122,13 @@ def stack_distances(accesses: DataFrame, shard: str = "shard") -> DataFrame:
     return rows.groupBy("shard").applyInPandas(run, "shard bigint, req_id bigint, distance bigint")
 
 
+def counted(log: DataFrame, counts: str = "writes") -> DataFrame:
+    """The requests that frequencies count: those that were written to the storage (a rule, and status 200), or all."""
+    if counts not in ("writes", "reads"):
+        raise ValueError(f"no such counts: {counts}")
+    return log.where("rule_path IS NOT NULL AND status = 200") if counts == "writes" else log
+
+
 def window_frequency(accesses: DataFrame, width: str = "1 minute") -> DataFrame:
     """How often each key came in each window: exact counts in place of a sketch."""
     return accesses.groupBy("key", F.window("ts", width).start.alias("win")).agg(F.count(F.lit(1)).alias("freq"))

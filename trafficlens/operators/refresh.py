@@ -51,3 +51,10 @@ def limited(df: DataFrame, by: list[str], order: list[Column], rate: int) -> Dat
     """At most `rate` rows of each group, in order: a rate limit over windows of time."""
     turn = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= rate)
+
+
+def rollup(scans: DataFrame, found: Column, success: Column, width: str) -> DataFrame:
+    """Scans, entries found stale, and refreshes that succeeded and failed, in each window."""
+    return scans.groupBy(F.window("ts", width).start.alias("win")).agg(
+        F.count(F.lit(1)).alias("scans"), F.count_if(found).alias("found"), F.count_if(found & success).alias("success"), F.count_if(found & ~success).alias("errors")
+    )

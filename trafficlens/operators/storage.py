@@ -38,6 +38,42 @@ def outcomes(matched: DataFrame, epoch: str | None = None) -> DataFrame:
     return flagged.join(first, by, "left").withColumn("outcome", outcome).drop("__first")
 
 
+def as_of(rows: DataFrame, key: str, is_write: Column, value: Column, name: str) -> DataFrame:
+    """Add `name`: the value of the key's last write before each row, in order of ts and req_id; null if there is none.
+
+    Made in two steps, so that a hot key is no window over all its rows: the last write of each day is carried from day
+    to day (a row for each key and day), and only a day's own rows are walked."""
+    day = F.to_date("ts").alias("__day")
+    marked = rows.withColumn("__write", F.when(is_write, F.struct(value.alias("v")))).withColumn("__day", F.to_date("ts"))
+    last = marked.where("__write IS NOT NULL").groupBy(F.col(key).alias("__key"), day).agg(F.max_by("__write", F.struct("ts", "req_id")).alias("__last"))
+    carried = Window.partitionBy("__key").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = marked.groupBy(F.col(key).alias("__key"), "__day").agg(F.lit(1).alias("__any")).join(last, ["__key", "__day"], "left")
+    days = days.select("__key", "__day", F.last("__last", ignorenulls=True).over(carried).alias("__before"))
+    inside = Window.partitionBy(key, "__day").orderBy("ts", "req_id").rowsBetween(Window.unboundedPreceding, -1)
+    known = marked.join(days.withColumnRenamed("__key", key), [key, "__day"])
+    found = F.coalesce(F.last("__write", ignorenulls=True).over(inside), F.col("__before"))
+    return known.withColumn(name, found["v"]).drop("__write", "__day", "__before")
+
+
+def outcomes_by_fingerprint(matched: DataFrame, fingerprint: str) -> DataFrame:
+    """Add outcome as outcomes() does, but an entry counts only if its fingerprint is the request's: of requests with one
+    key and different fingerprints, each that is stored takes the place of the other's entry."""
+    stored = F.col("rule_path").isNotNull() & (F.col("status") == 200)
+    held = as_of(matched, "key", stored, F.col(fingerprint), "__there")
+    outcome = (
+        F.when(F.col("rule_path").isNull(), "proxied").when(F.col("__there") == F.col(fingerprint), "hit")
+        .when(F.col("status") != 200, "error").otherwise("miss")
+    )
+    return held.withColumn("outcome", outcome).drop("__there")
+
+
+def walk(entries: DataFrame, stop: Column) -> DataFrame:
+    """Each shard's entries in order of their keys, up to and with the first for which `stop` holds. No shard is sorted:
+    the first such key is a minimum."""
+    first = entries.where(stop).groupBy("shard").agg(F.min("key").alias("__stop"))
+    return entries.join(first, "shard", "left").where("__stop IS NULL OR key <= __stop").drop("__stop")
+
+
 def classify_sets(stored: DataFrame, payload: str, fingerprint: str | None = None) -> DataFrame:
     """Add kind: what each write does to its key: insert (nothing there), collision (another fingerprint is there and
     is replaced), touch (same payload) or update (another one)."""

@@ -14,7 +14,7 @@ from trafficlens.sources import requests
 from trafficlens.sources.config import EVENTS_CONFIG
 
 PREFIXES = ["ref", "page", "utm"]
-SHARDS_REPLAYED = 16  # the small tables have too few keys for all shards to hold something
+SHARDS_REPLAYED = keys.SHARDS
 
 
 def log(spark, sf_dir):
@@ -311,28 +311,35 @@ def lru_stack_distance(spark, sf_dir):
     return policy.stack_distances(log(spark, sf_dir).withColumn("shard", F.col("shard") % SHARDS_REPLAYED))
 
 
-_FREQ = f"""freq AS (SELECT key, {window_sql("ts", 3600)} AS win, count(*) AS freq FROM req GROUP BY ALL),
+_FREQ = f"""freq AS (SELECT key, {window_sql("ts", 3600)} AS win, count(*) AS freq FROM req WHERE stored GROUP BY ALL),
 est AS (SELECT key, win, freq, CASE WHEN lag(win) OVER t = win - INTERVAL 1 HOUR THEN lag(freq) OVER t ELSE 0 END AS prev FROM freq WINDOW t AS (PARTITION BY key ORDER BY win)),
 estimate AS (SELECT *, (freq + prev) // 2 AS estimate FROM est)"""
 
 
-@query("lfu_minute_freq", f"""WITH {REQUESTS} SELECT key, {window_sql("ts", 60)} AS win, count(*) AS freq FROM req GROUP BY ALL""")
+@query("lfu_minute_freq", f"""WITH {REQUESTS} SELECT key, {window_sql("ts", 60)} AS win, count(*) AS freq FROM req WHERE stored GROUP BY ALL""")
 def lfu_minute_freq(spark, sf_dir):
-    return policy.window_frequency(log(spark, sf_dir))
+    """Frequencies count writes, as the storage does; lookups leave them as they are."""
+    return policy.window_frequency(policy.counted(matched(spark, sf_dir)))
+
+
+@query("lfu_minute_reads", f"""WITH {REQUESTS} SELECT key, {window_sql("ts", 60)} AS win, count(*) AS freq FROM req GROUP BY ALL""")
+def lfu_minute_reads(spark, sf_dir):
+    """The documented variant: every request counts."""
+    return policy.window_frequency(policy.counted(matched(spark, sf_dir), "reads"))
 
 
 @query("lfu_estimate", f"WITH {REQUESTS}, {_FREQ} SELECT key, win, freq, prev, estimate FROM estimate")
 def lfu_estimate(spark, sf_dir):
-    return policy.frequency_estimate(policy.window_frequency(log(spark, sf_dir), "1 hour"), 3600)
+    return policy.frequency_estimate(policy.window_frequency(policy.counted(matched(spark, sf_dir)), "1 hour"), 3600)
 
 
 @query("lfu_admit", f"""
     WITH {LATEST}, {_FREQ}, v AS (SELECT shard % {SHARDS_REPLAYED} AS shard, arg_min(key, (ts, req_id)) AS victim FROM latest GROUP BY 1),
-    c AS (SELECT DISTINCT key, shard % {SHARDS_REPLAYED} AS shard, {window_sql("ts", 3600)} AS win FROM req)
+    c AS (SELECT DISTINCT key, shard % {SHARDS_REPLAYED} AS shard, {window_sql("ts", 3600)} AS win FROM req WHERE stored)
     SELECT c.key, c.shard, c.win, victim, n.estimate AS new_freq, coalesce(o.estimate, 0) AS old_freq, n.estimate >= coalesce(o.estimate, 0) AS admitted
     FROM c JOIN v USING (shard) JOIN estimate n ON n.key = c.key AND n.win = c.win LEFT JOIN estimate o ON o.key = victim AND o.win = c.win""")
 def lfu_admit(spark, sf_dir):
-    accesses = log(spark, sf_dir)
+    accesses = policy.counted(matched(spark, sf_dir))
     estimates = policy.frequency_estimate(policy.window_frequency(accesses, "1 hour"), 3600)
     wanted = accesses.select("key", (F.col("shard") % SHARDS_REPLAYED).alias("shard"), F.window("ts", "1 hour").start.alias("win")).distinct()
     return policy.admissions(wanted, policy.victims(_small(spark, sf_dir)), estimates).select("key", "shard", "win", "victim", "new_freq", "old_freq", "admitted")
@@ -429,9 +436,78 @@ def dash_gauges(spark, sf_dir):
 
 
 @query("exposition", f"""
-    WITH {OUTCOMES}, c AS (SELECT count(*) FILTER (outcome = 'hit') AS h, count(*) FILTER (outcome = 'miss') AS m, count(*) AS t FROM outcome)
-    SELECT 'cache_hits ' || h AS line FROM c UNION ALL SELECT 'cache_misses ' || m FROM c UNION ALL SELECT 'cache_total ' || t FROM c""")
+    WITH {OUTCOMES}, span AS (SELECT CAST(max(floor(epoch(ts))) - min(floor(epoch(ts))) + 1 AS BIGINT) AS secs, count(*) AS n, CAST(sum(duration) AS BIGINT) AS d FROM req),
+    last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, req_id DESC) AS r FROM req WHERE stored),
+    held AS (SELECT count(*) AS n, coalesce(CAST(sum(88 + strlen(path) + strlen(query) + duration) AS BIGINT), 0) AS mem FROM last WHERE r = 1),
+    c AS (SELECT count(*) FILTER (outcome = 'hit') AS h, count(*) FILTER (outcome = 'miss') AS m, count(*) AS t, count(*) FILTER (outcome = 'error') AS e, count(*) FILTER (outcome = 'proxied') AS p FROM outcome)
+    SELECT 'cache_hits ' || h AS line FROM c UNION ALL SELECT 'cache_misses ' || m FROM c UNION ALL SELECT 'cache_total ' || t FROM c
+    UNION ALL SELECT 'cache_errors ' || e FROM c UNION ALL SELECT 'cache_proxied ' || p FROM c UNION ALL SELECT 'cache_panics 0'
+    UNION ALL SELECT 'cache_rps ' || n // secs FROM span UNION ALL SELECT 'cache_cache_length ' || n FROM held
+    UNION ALL SELECT 'cache_cache_memory_usage ' || mem FROM held UNION ALL SELECT 'cache_avg_duration ' || d // n FROM span""")
 def exposition(spark, sf_dir):
-    total = metrics.counters(outcomes(spark, sf_dir), "24 hours").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "total")])
-    named = F.stack(F.lit(3), F.lit("hits"), "hits", F.lit("misses"), "misses", F.lit("total"), "total").alias("name", "value")
-    return metrics.exposition(total.select(named).select("name", F.col("value").cast("double").alias("value")))
+    """Every meter once, over the whole log; rates and averages as whole numbers."""
+    known = outcomes(spark, sf_dir)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    count = lambda o: F.count_if(F.col("outcome") == o)
+    n = F.count(F.lit(1))
+    every = known.agg(
+        count("hit").alias("hits"), count("miss").alias("misses"), n.alias("total"), count("error").alias("errors"), count("proxied").alias("proxied"),
+        F.lit(0).alias("panics"), F.floor(n / (F.max(second) - F.min(second) + 1)).alias("rps"), F.floor(F.sum("duration") / n).alias("avg_duration"),
+    )
+    held = entries(spark, sf_dir).agg(n.alias("cache_length"), F.coalesce(F.sum("weight"), F.lit(0)).alias("cache_memory_usage"))
+    named = [x.select(F.stack(F.lit(len(x.columns)), *[y for m in x.columns for y in (F.lit(m), F.col(m).cast("double"))]).alias("name", "value")) for x in (every, held)]
+    return metrics.exposition(named[0].unionByName(named[1]))
+
+
+@query("dash_cache_gauges", f"""WITH {LATEST} SELECT count(*) AS length, CAST(sum(weight) AS BIGINT) AS memory FROM latest""")
+def dash_cache_gauges(spark, sf_dir):
+    """Entries held and their bytes after the whole log."""
+    return entries(spark, sf_dir).agg(F.count(F.lit(1)).alias("length"), F.sum("weight").alias("memory"))
+
+
+@query("outcome_fingerprint", f"""
+    WITH {REQUESTS}, held AS (
+        SELECT *, last_value(CASE WHEN stored THEN path END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS there FROM req)
+    SELECT req_id, CASE WHEN rule_path IS NULL THEN 'proxied' WHEN there = path THEN 'hit' WHEN status <> 200 THEN 'error' ELSE 'miss' END AS outcome FROM held""")
+def outcome_fingerprint(spark, sf_dir):
+    """Outcomes where an entry counts only if its fingerprint is the request's: paths share keys here, and replace each other."""
+    print_of = keys.fingerprint(F.concat_ws("\n", "path", "key"))
+    return storage.outcomes_by_fingerprint(matched(spark, sf_dir).withColumn("fp", print_of), "fp").select("req_id", "outcome")
+
+
+@query("refresh_elapsed", f"""
+    WITH {REQUESTS}
+    SELECT req_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(max(CASE WHEN stored THEN ts END) OVER (PARTITION BY key ORDER BY ts, req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS BIGINT) AS elapsed FROM req""")
+def refresh_elapsed(spark, sf_dir):
+    """Seconds since the entry of each request's key was last written, as of that request; null before the first write."""
+    known = matched(spark, sf_dir)
+    stored = F.col("rule_path").isNotNull() & (F.col("status") == 200)
+    at = storage.as_of(known, "key", stored, F.col("ts"), "refreshed")
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return at.select("req_id", (seconds("ts") - seconds("refreshed")).alias("elapsed"))
+
+
+@query("shard_walk", f"""
+    WITH {LATEST}, stop AS (SELECT shard, min(key) AS stop FROM latest WHERE weight % 3 = 0 GROUP BY shard)
+    SELECT shard, key, weight FROM latest LEFT JOIN stop USING (shard) WHERE stop IS NULL OR key <= stop""")
+def shard_walk(spark, sf_dir):
+    """Each shard's entries in order of their keys, up to the first at which the walk is told to stop."""
+    return storage.walk(entries(spark, sf_dir), F.col("weight") % 3 == 0).select("shard", "key", "weight")
+
+
+@query("shards_by_weight_asc", f"""
+    WITH {LATEST}, w AS (SELECT shard, CAST(sum(weight) AS BIGINT) AS mem FROM latest GROUP BY shard)
+    SELECT shard, mem, CAST(row_number() OVER (ORDER BY mem, shard) AS INT) AS shard_rank FROM w QUALIFY shard_rank <= 20""")
+def shards_by_weight_asc(spark, sf_dir):
+    return policy.fat_shards(storage.shard_weights(entries(spark, sf_dir)), 20, ascending=True).select("shard", "mem", "shard_rank")
+
+
+@query("balancer_overhead", f"""
+    WITH {LATEST} SELECT CAST(40 + {keys.SHARDS} * (2 * 8 + 40) + count(DISTINCT shard) * 8 AS BIGINT) AS mem FROM latest""")
+def balancer_overhead(spark, sf_dir):
+    return policy.balancer_overhead(storage.shard_weights(entries(spark, sf_dir)), keys.SHARDS)
+
+
+@query("hex_token", "SELECT event_id AS req_id, md5('seed:' || event_id) AS token FROM events")
+def hex_token(spark, sf_dir):
+    return log(spark, sf_dir).select("req_id", scalars.hex_token("seed", F.col("req_id")).alias("token"))

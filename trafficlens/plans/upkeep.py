@@ -113,12 +113,12 @@ def health_minute_cumulative(spark, sf_dir):
 
 
 @query("probe_runs", f"""
-    WITH {REQUESTS}, p AS (SELECT backend, ts, req_id, status < 500 AS ok FROM req),
+    WITH {REQUESTS}, p AS (SELECT backend, ts, req_id, status = 200 AS ok FROM req),
     c AS (SELECT *, CASE WHEN lag(ok) OVER t = ok THEN 0 ELSE 1 END AS new FROM p WINDOW t AS (PARTITION BY backend ORDER BY ts, req_id)),
     r AS (SELECT *, sum(new) OVER (PARTITION BY backend ORDER BY ts, req_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
     SELECT backend, CAST(run AS BIGINT) AS run, any_value(ok) AS ok, count(*) AS probes, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY backend, run""")
 def probe_runs(spark, sf_dir):
-    return health.probe_runs(traffic.log(spark, sf_dir).withColumn("ok", F.col("status") < 500))
+    return health.probe_runs(traffic.log(spark, sf_dir).withColumn("ok", health.is_healthy(F.col("status"))))
 
 
 @query("throttle_rates", """
@@ -155,10 +155,13 @@ def fetch_outcome(spark, sf_dir):
 
 
 def _ticks(spark, sf_dir):
-    """The events of the state machine: each day's error rate by kind of request, and each request as a probe."""
+    """The events of the state machine: each five days' error rate, and a probe an hour with the requests it meets.
+
+    As many rows as there are hours and backends, however many events."""
     events = table(spark, sf_dir, "events").select((F.col("user_id") % 8).cast("string").alias("backend"), "ts", "event_type", "value")
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    probes = events.select("backend", at.alias("at"), F.lit("probe").alias("kind"), (F.col("value") > F.when(F.col("backend").isin("0", "1"), 60).otherwise(2)).alias("ok"), F.lit(0).cast("bigint").alias("total"), F.lit(0.0).alias("err_rate"))
+    good = F.count_if(F.col("value") > F.when(F.col("backend").isin("0", "1"), 60).otherwise(2))
+    hourly = events.groupBy("backend", F.window("ts", "1 hour").start.alias("start")).agg((good * 2 > F.count(F.lit(1))).alias("ok"), F.count_if(F.col("event_type") == "purchase").alias("total"))
+    probes = hourly.select("backend", F.unix_seconds(F.col("start").cast("timestamp")).alias("at"), F.lit("probe").alias("kind"), "ok", "total", F.lit(0.0).alias("err_rate"))
     daily = events.groupBy("backend", F.window("ts", "5 days").end.alias("end")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"))
     windows = daily.select("backend", F.unix_seconds(F.col("end").cast("timestamp")).alias("at"), F.lit("window").alias("kind"), F.lit(None).cast("boolean").alias("ok"), "total", scalars.safe_divide(F.col("errors"), F.col("total")).alias("err_rate"))
     return probes.unionByName(windows)
@@ -167,8 +170,9 @@ def _ticks(spark, sf_dir):
 _FSM = """
     WITH RECURSIVE ev AS (SELECT CAST(user_id % 8 AS VARCHAR) AS backend, ts, event_type, value FROM events),
     raw AS (
-        SELECT backend, CAST(floor(epoch(ts)) AS BIGINT) AS sec, 1 AS turn, value > CASE WHEN backend IN ('0', '1') THEN 60 ELSE 2 END AS ok,
-               CAST(0 AS BIGINT) AS total, CAST(0 AS DOUBLE) AS rate FROM ev
+        SELECT backend, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS sec, 1 AS turn,
+               count(*) FILTER (value > CASE WHEN backend IN ('0', '1') THEN 60 ELSE 2 END) * 2 > count(*) AS ok,
+               count(*) FILTER (event_type = 'purchase') AS total, CAST(0 AS DOUBLE) AS rate FROM ev GROUP BY 1, 2
         UNION ALL
         SELECT backend, (CAST(floor(epoch(ts) / 432000) AS BIGINT) + 1) * 432000, 0, NULL, count(*), CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*)
         FROM ev GROUP BY 1, 2),
@@ -180,18 +184,18 @@ _FSM = """
         SELECT backend, i, sec,
                CASE WHEN m IN ('quarantine', 'resurrect') THEN 'sick' WHEN m = 'cure' THEN 'healthy' WHEN m = 'kill' THEN 'dead' WHEN m = 'bury' THEN 'buried' ELSE state END,
                CASE m WHEN 'cure' THEN 8 WHEN 'throttle' THEN throttles + 1 WHEN 'unthrottle' THEN throttles - 1 ELSE throttles END,
-               CASE WHEN m IN ('cure', 'throttle', 'unthrottle', 'resurrect') THEN 0 ELSE s END, CASE WHEN m IN ('cure', 'throttle', 'unthrottle', 'resurrect') THEN 0 ELSE e END,
+               CASE WHEN m IN ('cure', 'throttle', 'unthrottle', 'resurrect', 'quarantine') THEN 0 ELSE s END, CASE WHEN m IN ('cure', 'throttle', 'unthrottle', 'resurrect', 'quarantine') THEN 0 ELSE e END,
                CASE WHEN m IN ('quarantine', 'resurrect') THEN sec WHEN m = 'cure' THEN 0 ELSE sicked END,
                CASE WHEN m = 'kill' THEN sec WHEN m IN ('quarantine', 'resurrect', 'cure') THEN 0 ELSE killed END, m
         FROM (
-            SELECT *, CASE WHEN turn = 1 AND state = 'healthy' AND e > 5 THEN 'quarantine' WHEN turn = 1 AND state = 'sick' AND s > 5 THEN 'cure'
+            SELECT *, CASE WHEN turn = 1 AND state = 'healthy' AND total <= 0 AND e > 5 THEN 'quarantine' WHEN turn = 1 AND state = 'sick' AND s > 5 THEN 'cure'
                            WHEN turn = 1 AND state = 'sick' AND e > 5 AND sec - sicked > 3600 THEN 'kill' WHEN turn = 1 AND state = 'dead' AND s > 5 THEN 'resurrect'
                            WHEN turn = 1 AND state = 'dead' AND e > 5 AND sec - killed > 86400 THEN 'bury' WHEN turn = 1 OR state <> 'healthy' OR total <= 50 THEN NULL
                            WHEN rate >= 0.7 THEN 'quarantine' WHEN rate > 0.1 AND throttles < 9 THEN 'throttle' WHEN rate >= 0.1 THEN 'quarantine'
                            WHEN throttles > 0 THEN 'unthrottle' END AS m
             FROM (SELECT t.backend, t.i, t.sec, t.turn, t.total, t.rate, f.state, f.throttles, f.sicked, f.killed,
-                         CASE WHEN t.turn = 1 THEN CASE WHEN t.ok THEN f.suc + 1 ELSE 0 END ELSE f.suc END AS s,
-                         CASE WHEN t.turn = 1 THEN CASE WHEN t.ok THEN 0 ELSE f.err + 1 END ELSE f.err END AS e
+                         CASE WHEN t.turn = 1 AND (f.state IN ('sick', 'dead') OR f.state = 'healthy' AND t.total <= 0) THEN CASE WHEN t.ok THEN f.suc + 1 ELSE 0 END ELSE f.suc END AS s,
+                         CASE WHEN t.turn = 1 AND (f.state IN ('sick', 'dead') OR f.state = 'healthy' AND t.total <= 0) THEN CASE WHEN t.ok THEN 0 ELSE f.err + 1 END ELSE f.err END AS e
                   FROM fold f JOIN ticks t ON t.backend = f.backend AND t.i = f.i + 1)))"""
 
 
@@ -203,6 +207,36 @@ def health_fsm(spark, sf_dir):
     return health.replay(_ticks(spark, sf_dir)).select("backend", "state", "throttles", "suc", "err", F.size("moves").alias("moves"))
 
 
+@query("dash_throttle_level", f"""{_FSM}
+    SELECT backend, arg_max(throttles, i) AS level, arg_max(throttles, i) > 0 AS throttled FROM fold GROUP BY backend""")
+def dash_throttle_level(spark, sf_dir):
+    """The last throttle level of each backend."""
+    return health.replay(_ticks(spark, sf_dir)).select("backend", F.col("throttles").alias("level"), health.is_throttled(F.col("throttles")).alias("throttled"))
+
+
+@query("healthy_backends", f"""{_FSM}, last AS (SELECT backend, arg_max(state, i) AS state FROM fold GROUP BY backend)
+    SELECT count(*) FILTER (state = 'healthy') AS healthy, count(*) AS total FROM last""")
+def healthy_backends(spark, sf_dir):
+    return health.healthy_count(health.replay(_ticks(spark, sf_dir)))
+
+
+@query("dash_rate_limit", f"""
+    WITH {REQUESTS}, t AS (SELECT backend, {window_sql("ts", 60)} AS win, row_number() OVER (PARTITION BY backend, {window_sql("ts", 60)} ORDER BY ts, req_id) AS turn FROM req)
+    SELECT backend, win, count(*) FILTER (turn <= CASE backend WHEN 'b0' THEN 5 WHEN 'b1' THEN 3 ELSE 8 END) / 60.0::DOUBLE AS rate FROM t GROUP BY backend, win""")
+def dash_rate_limit(spark, sf_dir):
+    """Requests a second that each backend's limit lets through, by minute."""
+    let = health.admitted(traffic.log(spark, sf_dir), EVENTS_CONFIG.backends_frame(spark), "1 minute")
+    return let.groupBy("backend", "win").agg((F.count_if("admitted") / F.lit(60.0)).alias("rate"))
+
+
+@query("fetch_timeout", """
+    SELECT event_id AS req_id, CASE WHEN user_id % 5 = 0 AND event_type <> 'view' THEN 60000 ELSE 10000 END AS timeout_ms FROM events""")
+def fetch_timeout(spark, sf_dir):
+    """Requests of some clients carry the header that asks for the longer time; an empty one doesn't count."""
+    header = F.when(F.col("client") % 5 == 0, F.when(F.col("path") != "/view", "yes").otherwise(""))
+    return traffic.log(spark, sf_dir).select("req_id", health.fetch_timeout(header, F.lit(10_000), F.lit(60_000)).alias("timeout_ms"))
+
+
 @query("health_transitions", f"{_FSM} SELECT CAST(make_timestamp(sec * 1000000) AS DATE) AS day, move, count(*) AS n FROM fold WHERE move IS NOT NULL GROUP BY ALL")
 def health_transitions(spark, sf_dir):
     """Moves between states by day."""
@@ -261,15 +295,31 @@ def version_rotate(spark, sf_dir):
     return spark.createDataFrame(sorted((name, number) for _, name, number in left), "version string, number int")
 
 
-@query("dump_latest_files", """
-    WITH f AS (SELECT 'cache-shard-' || (page_id % 4) || '-2024010' || (page_id % 3 + 1) || 'T000000' || CASE page_id % 5 WHEN 0 THEN '.dump' WHEN 1 THEN '.dump.gz' ELSE '.dump.tmp' END AS name FROM pages),
-    s AS (SELECT DISTINCT name, regexp_extract(name, '-([0-9]{8}T[0-9]{6})\\.dump(?:\\.gz)?$', 1) AS stamp FROM f)
-    SELECT name, stamp FROM s WHERE stamp = (SELECT max(stamp) FROM s)""")
-def dump_latest_files(spark, sf_dir):
+_FILES = """
+    WITH f AS (SELECT DISTINCT 'cache-shard-' || (page_id % 4) || '-2024010' || (page_id % 3 + 1) || 'T000000' || CASE page_id % 5 WHEN 0 THEN '.dump' WHEN 1 THEN '.dump.gz' ELSE '.dump.tmp' END AS name FROM pages),"""
+
+
+def _files(spark, sf_dir):
     p = F.col("page_id")
     end = F.when(p % 5 == 0, ".dump").when(p % 5 == 1, ".dump.gz").otherwise(".dump.tmp")
     name = F.concat(F.lit("cache-shard-"), (p % 4).cast("string"), F.lit("-2024010"), (p % 3 + 1).cast("string"), F.lit("T000000"), end)
-    return snapshot.latest_files(table(spark, sf_dir, "pages").select(name.alias("name")).distinct()).select("name", "stamp")
+    return table(spark, sf_dir, "pages").select(name.alias("name")).distinct()
+
+
+@query("dump_finished_files", f"""{_FILES}
+    s AS (SELECT name, regexp_extract(name, '-([0-9]{{8}}T[0-9]{{6}})\\.dump(?:\\.gz)?$', 1) AS stamp FROM f)
+    SELECT name, stamp FROM s WHERE stamp = (SELECT max(stamp) FROM s)""")
+def dump_finished_files(spark, sf_dir):
+    """The documented variant: files that are still being written don't count."""
+    return snapshot.latest_files(_files(spark, sf_dir), leftovers=False).select("name", "stamp")
+
+
+@query("dump_latest_files", f"""{_FILES}
+    s AS (SELECT name, CASE WHEN ends_with(name, '.dump') THEN left(string_split(name, '-')[-1], -5) ELSE string_split(name, '-')[-1] END AS stamp FROM f)
+    SELECT name, stamp FROM s WHERE stamp = (SELECT max(stamp) FROM s)""")
+def dump_latest_files(spark, sf_dir):
+    """The files of the greatest stamp; a leftover .tmp has a stamp of its own, which sorts after the finished one's."""
+    return snapshot.latest_files(_files(spark, sf_dir)).select("name", "stamp")
 
 
 @query("generated_requests", """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 HEADER = struct.Struct("<II")
 MAX_RECORD = 1 << 30
+FILE_ROWS = 5_000_000
 
 
 class Versions:
@@ -54,12 +55,15 @@ class Versions:
 def dump(entries: DataFrame, base: str, keep: int = 3, compression: str = "snappy") -> str:
     """Write a version, one folder for each shard that has entries, then drop versions beyond `keep`.
 
-    Rows are dealt out by shard first, so a shard is one file, as small or large as it is. Spark's commit makes the
-    files visible only when all of them are there.
+    Rows are dealt out by shard first. A shard with more rows than FILE_ROWS is dealt to several tasks and files, by its
+    own count, so none is as large as the heaviest shard. Spark's commit makes the files visible only when all are there.
     """
+    sizes = F.broadcast(entries.groupBy("shard").agg(F.count(F.lit(1)).alias("__n")))  # one row a shard
+    part = F.floor(F.rand(17) * F.ceil(F.col("__n") / F.lit(FILE_ROWS)))
+    entries = entries.join(sizes, entries["shard"].eqNullSafe(sizes["shard"])).drop(sizes["shard"]).withColumn("__part", part).drop("__n")
     versions = Versions(entries.sparkSession, base)
     target = versions.next()
-    entries.repartition("shard").write.partitionBy("shard").option("compression", compression).parquet(target)
+    entries.repartition("shard", "__part").drop("__part").write.partitionBy("shard").option("compression", compression).parquet(target)
     versions.rotate(keep)
     return target
 
@@ -118,8 +122,18 @@ def read_framed(files: DataFrame, check: bool = True) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, offset bigint, record binary, status string")
 
 
-def latest_files(names: DataFrame) -> DataFrame:
-    """Of dump files <name>-shard-<k>-<stamp>.dump[.gz], those of the latest stamp. Leftovers (.tmp) don't count."""
-    stamped = names.withColumn("stamp", F.regexp_extract("name", r"-([0-9]{8}T[0-9]{6})\.dump(?:\.gz)?$", 1)).where("stamp <> ''")
-    last = stamped.agg(F.max("stamp").alias("stamp"))
-    return stamped.join(F.broadcast(last), "stamp", "left_semi")
+def latest_files(names: DataFrame, leftovers: bool = True) -> DataFrame:
+    """Of dump files <name>-shard-<k>-<stamp>.dump, those of the greatest stamp.
+
+    The stamp is all that follows the last dash but a final ".dump", so that "x.dump.gz" and a leftover "x.dump.tmp" have
+    stamps of their own, which sort after "x". With `leftovers` false, files being written (.tmp) are left out, and a
+    compressed file has the stamp of a plain one."""
+    if leftovers:
+        parts = F.split("name", "-")
+        last = F.element_at(parts, -1)
+        stamped = names.withColumn("stamp", F.when(F.size(parts) >= 4, F.regexp_replace(last, r"\.dump$", "")))
+    else:
+        stamped = names.withColumn("stamp", F.regexp_extract("name", r"-([0-9]{8}T[0-9]{6})\.dump(?:\.gz)?$", 1))
+    stamped = stamped.where("stamp <> ''")
+    greatest = stamped.agg(F.max("stamp").alias("stamp"))
+    return stamped.join(F.broadcast(greatest), "stamp", "left_semi")

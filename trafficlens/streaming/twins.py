@@ -76,6 +76,8 @@ def advance(now: list, at: int, kind: str, ok: bool, total: int, rate: float) ->
         return None
     move = None
     if kind == "probe":
+        if state == "healthy" and total > 0:
+            return None  # judged by its error rate, not probed
         suc, err = (suc + 1, 0) if ok else (0, err + 1)
         if state == "healthy" and err > rules.PROBES_IN_ROW:
             move = "quarantine"
@@ -98,7 +100,7 @@ def advance(now: list, at: int, kind: str, ok: bool, total: int, rate: float) ->
             move = "unthrottle"
     state = {"quarantine": "sick", "resurrect": "sick", "cure": "healthy", "kill": "dead", "bury": "buried"}.get(move, state)
     throttles = {"cure": rules.MAX_THROTTLES - 1, "throttle": throttles + 1, "unthrottle": throttles - 1}.get(move, throttles)
-    if move in ("cure", "throttle", "unthrottle", "resurrect"):
+    if move in ("quarantine", "cure", "throttle", "unthrottle", "resurrect"):
         suc = err = 0
     sicked = at if move in ("quarantine", "resurrect") else 0 if move == "cure" else sicked
     killed = at if move == "kill" else 0 if move in ("quarantine", "resurrect", "cure") else killed
