@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions import keys, scalars
 from trafficlens.operators import health, locales, metrics, policy, refresh, storage
+from trafficlens.operators.prefix_sum import as_of
 from trafficlens.sources import config, requests, snapshot
 from trafficlens.streaming import twins
 
@@ -366,5 +367,5 @@ def test_payloads_that_are_cut_short(spark):
 def test_as_of_takes_the_last_write_before(spark):
     rows = [("a", f"2024-01-0{d} 0{h}:00:00", 10 * d + h, w) for d, h, w in ((1, 1, True), (1, 2, False), (3, 1, False), (3, 2, True), (3, 3, True), (4, 1, False))]
     df = spark.createDataFrame([*rows, ("b", "2024-01-03 01:00:00", 99, False)], "key string, ts string, req_id long, w boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    got = {r["req_id"]: r["last"] for r in storage.as_of(df, "key", F.col("w"), F.col("req_id"), "last").collect()}
+    got = {r["req_id"]: r["last"] for r in as_of(df, "key", F.col("w"), F.col("req_id"), "last").collect()}
     assert got == {11: None, 12: 11, 31: 11, 32: 11, 33: 32, 41: 33, 99: None}

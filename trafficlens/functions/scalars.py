@@ -75,17 +75,25 @@ def exact_equal(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def probe_equal(a: Column, b: Column) -> Column:
-    """The heuristic comparison of two binary payloads: equal length and, from 32 bytes on, equal hashes of the first
-    eight bytes, eight from the middle and the last eight, XORed. It can take different payloads for equal."""
-    n = F.octet_length(a)
+def signature(x: Column) -> Column:
+    """What comparing a payload needs of it: length, SHA-256, and the XOR of the hashes of its first eight bytes, eight
+    from the middle and the last eight. A hundred bytes or so, however long the payload."""
+    n = F.octet_length(x)
+    middle = F.substring(x, (F.floor(n / 2) + 1).cast("int"), F.lit(8))
+    ends = F.xxhash64(F.substring(x, F.lit(1), F.lit(8))).bitwiseXOR(F.xxhash64(F.substring(x, (n - 7).cast("int"), F.lit(8))))
+    return F.struct(n.alias("n"), F.sha2(x, 256).alias("sha"), ends.bitwiseXOR(F.xxhash64(middle)).alias("probes"))
+
 
-    def probes(x: Column) -> Column:
-        middle = F.substring(x, (F.floor(n / 2) + 1).cast("int"), F.lit(8))
-        return F.xxhash64(F.substring(x, F.lit(1), F.lit(8))).bitwiseXOR(F.xxhash64(middle)).bitwiseXOR(F.xxhash64(F.substring(x, (n - 7).cast("int"), F.lit(8))))
+def same_by_probes(a: Column, b: Column) -> Column:
+    """The heuristic comparison of two signatures: equal length and, from 32 bytes on, equal probes. It can take different
+    payloads for equal."""
+    same = F.when(a["n"] < 32, a["sha"] == b["sha"]).otherwise(a["probes"] == b["probes"])
+    return F.coalesce(F.when(a["n"] == b["n"], same).otherwise(F.lit(False)), F.lit(False))
 
-    same = F.when(n < 32, a == b).otherwise(probes(a) == probes(b))
-    return F.coalesce(F.when(n == F.octet_length(b), same).otherwise(F.lit(False)), F.lit(False))
+
+def probe_equal(a: Column, b: Column) -> Column:
+    """The heuristic comparison of two binary payloads."""
+    return same_by_probes(signature(a), signature(b))
 
 
 def pairs_weight(pairs: Column, each: int) -> Column:

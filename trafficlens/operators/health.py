@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trafficlens.functions.scalars import safe_divide
+from trafficlens.operators.prefix_sum import as_of, running_sum, time_slice
 
 #: Thresholds of the decisions.
 MAX_ERROR_RATE, MIN_ERROR_RATE = 0.7, 0.1
@@ -65,12 +65,14 @@ def decide(windows: DataFrame, throttles: Column, idle: int = IDLE_REQUESTS) ->
 
 
 def probe_runs(probes: DataFrame) -> DataFrame:
-    """Runs of equal probes in a row: (backend, run, ok, probes, first, last). Columns: backend, ts, req_id, ok."""
-    turn = Window.partitionBy("backend").orderBy("ts", "req_id")
-    changed = F.when(F.lag("ok").over(turn).eqNullSafe(F.col("ok")), 0).otherwise(1)
-    numbered = probes.withColumn("__new", changed).withColumn("run", F.sum("__new").over(turn))
+    """Runs of equal probes in a row: (backend, run, ok, probes, first, last). Columns: backend, ts, req_id, ok.
+
+    A backend's probes are walked hour by hour, with what the hour before ended on."""
+    known = as_of(probes, "backend", F.lit(True), F.struct("ok"), "__last")
+    changed = F.when(F.col("__last").isNotNull() & F.col("__last.ok").eqNullSafe(F.col("ok")), 0).otherwise(1)
+    numbered = running_sum(known, time_slice(), [F.col("ts"), F.col("req_id")], changed, "run", ["backend"])
     return numbered.groupBy("backend", "run").agg(
-        F.first("ok").alias("ok"), F.count(F.lit(1)).alias("probes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+        F.min("ok").alias("ok"), F.count(F.lit(1)).alias("probes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
 
 
@@ -88,10 +90,10 @@ def unthrottled_rate(limit: Column, rate: Column) -> Column:
 
 def admitted(requests: DataFrame, backends: DataFrame, width: str) -> DataFrame:
     """Add admitted: whether a request is within its backend's rate in its window, in order of time."""
-    turn = Window.partitionBy("backend", "win").orderBy("ts", "req_id")
     limits = backends.select(F.col("id").alias("backend"), "rate")
     joined = requests.withColumn("win", F.window("ts", width).start).join(F.broadcast(limits), "backend")
-    return joined.withColumn("turn", F.row_number().over(turn)).withColumn("admitted", F.col("turn") <= F.col("rate"))
+    turned = running_sum(joined, time_slice(width="second"), [F.col("ts"), F.col("req_id")], F.lit(1), "turn", ["backend", "win"])
+    return turned.withColumn("turn", F.col("turn").cast("int")).withColumn("admitted", F.col("turn") <= F.col("rate"))
 
 
 def validate_backends(backends: DataFrame) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trafficlens.functions.scalars import entry_weight
-from trafficlens.operators.prefix_sum import running_sum
+from trafficlens.operators.prefix_sum import as_of, running_sum, time_slice
 
 
 def match_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
@@ -38,23 +37,6 @@ def outcomes(matched: DataFrame, epoch: str | None = None) -> DataFrame:
     return flagged.join(first, by, "left").withColumn("outcome", outcome).drop("__first")
 
 
-def as_of(rows: DataFrame, key: str, is_write: Column, value: Column, name: str) -> DataFrame:
-    """Add `name`: the value of the key's last write before each row, in order of ts and req_id; null if there is none.
-
-    Made in two steps, so that a hot key is no window over all its rows: the last write of each day is carried from day
-    to day (a row for each key and day), and only a day's own rows are walked."""
-    day = F.to_date("ts").alias("__day")
-    marked = rows.withColumn("__write", F.when(is_write, F.struct(value.alias("v")))).withColumn("__day", F.to_date("ts"))
-    last = marked.where("__write IS NOT NULL").groupBy(F.col(key).alias("__key"), day).agg(F.max_by("__write", F.struct("ts", "req_id")).alias("__last"))
-    carried = Window.partitionBy("__key").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    days = marked.groupBy(F.col(key).alias("__key"), "__day").agg(F.lit(1).alias("__any")).join(last, ["__key", "__day"], "left")
-    days = days.select("__key", "__day", F.last("__last", ignorenulls=True).over(carried).alias("__before"))
-    inside = Window.partitionBy(key, "__day").orderBy("ts", "req_id").rowsBetween(Window.unboundedPreceding, -1)
-    known = marked.join(days.withColumnRenamed("__key", key), [key, "__day"])
-    found = F.coalesce(F.last("__write", ignorenulls=True).over(inside), F.col("__before"))
-    return known.withColumn(name, found["v"]).drop("__write", "__day", "__before")
-
-
 def outcomes_by_fingerprint(matched: DataFrame, fingerprint: str) -> DataFrame:
     """Add outcome as outcomes() does, but an entry counts only if its fingerprint is the request's: of requests with one
     key and different fingerprints, each that is stored takes the place of the other's entry."""
@@ -77,14 +59,14 @@ def walk(entries: DataFrame, stop: Column) -> DataFrame:
 def classify_sets(stored: DataFrame, payload: str, fingerprint: str | None = None) -> DataFrame:
     """Add kind: what each write does to its key: insert (nothing there), collision (another fingerprint is there and
     is replaced), touch (same payload) or update (another one)."""
-    turn = Window.partitionBy("key").orderBy("ts", "req_id")
-    before = lambda c: F.lag(c).over(turn)
-    clash = ~before(fingerprint).eqNullSafe(F.col(fingerprint)) if fingerprint else F.lit(False)
+    before = F.col("__last")
+    held = F.struct(F.col(payload).alias("payload"), *([F.col(fingerprint).alias("fingerprint")] if fingerprint else []))
+    clash = ~before["fingerprint"].eqNullSafe(F.col(fingerprint)) if fingerprint else F.lit(False)
     kind = (
-        F.when(before("req_id").isNull(), "insert").when(clash, "collision")
-        .when(before(payload).eqNullSafe(F.col(payload)), "touch").otherwise("update")
+        F.when(before.isNull(), "insert").when(clash, "collision")
+        .when(before["payload"].eqNullSafe(F.col(payload)), "touch").otherwise("update")
     )
-    return stored.withColumn("kind", kind)
+    return as_of(stored, "key", F.lit(True), held, "__last").withColumn("kind", kind).drop("__last")
 
 
 def collisions(entries: DataFrame, key: str, fingerprint: str) -> DataFrame:
@@ -117,14 +99,14 @@ def removed(entries: DataFrame, removals: DataFrame) -> DataFrame:
 
 def weight_deltas(writes: DataFrame, weight: str) -> DataFrame:
     """Add delta: how each write changes the bytes of its shard (its weight less that of the key's write before)."""
-    turn = Window.partitionBy("key").orderBy("ts", "req_id")
-    return writes.withColumn("delta", F.col(weight) - F.coalesce(F.lag(weight).over(turn), F.lit(0)))
+    held = as_of(writes, "key", F.lit(True), F.col(weight), "__last")
+    return held.withColumn("delta", F.col(weight) - F.coalesce("__last", F.lit(0))).drop("__last")
 
 
 def clear_epochs(requests: DataFrame, is_clear: Column) -> DataFrame:
-    """Add epoch: how many clears came up to each request. Days are summed first, then each day by itself."""
+    """Add epoch: how many clears came up to each request. Minutes are summed first, then each minute by itself."""
     value = F.when(is_clear, 1).otherwise(0).cast("bigint")
-    return running_sum(requests, F.to_date("ts"), [F.col("ts"), F.col("req_id")], value, "epoch")
+    return running_sum(requests, time_slice(width="minute"), [F.col("ts"), F.col("req_id")], value, "epoch")
 
 
 def one_per_shard(entries: DataFrame, seed: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trafficlens.functions import keys, scalars
 from trafficlens.operators import health, metrics, policy, storage
+from trafficlens.operators.prefix_sum import as_of, time_slice
 from trafficlens.plans.base_sql import LATEST, OUTCOMES, REQUESTS, SHARD, window_sql
 from trafficlens.plans.registry import query
 from trafficlens.session import table
@@ -190,7 +190,7 @@ def shard_weight_deltas(spark, sf_dir):
 
 
 @query("payload_equal_probe", """
-    WITH p AS (SELECT doc_id, text AS b, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS a FROM documents),
+    WITH p AS (SELECT doc_id, text AS b, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS a FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, CAST(encode(a) AS BLOB) AS a, CAST(encode(b) AS BLOB) AS b FROM p WHERE a IS NOT NULL),
     h AS (SELECT doc_id, a = b AS exact_equal, octet_length(a) AS n, octet_length(a) = octet_length(b) AS same_length,
                  hex(a) AS ha, hex(b) AS hb FROM s),
@@ -199,9 +199,9 @@ def shard_weight_deltas(spark, sf_dir):
     SELECT doc_id, exact_equal, same_length AND CASE WHEN n < 32 THEN exact_equal ELSE probes END AS probe_equal FROM q""")
 def payload_equal_probe(spark, sf_dir):
     """Each document's text against the one before it in its source, exactly and by probes."""
-    turn = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"), F.lag(F.col("text").cast("binary")).over(turn).alias("a"))
-    return docs.where("a IS NOT NULL").select("doc_id", scalars.exact_equal(F.col("a"), F.col("b")).alias("exact_equal"), scalars.probe_equal(F.col("a"), F.col("b")).alias("probe_equal"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", scalars.signature(F.col("text").cast("binary")).alias("b"))
+    pairs = as_of(docs, "source", F.lit(True), F.col("b"), "a", ("doc_id",), F.floor(F.col("doc_id") / F.lit(100_000))).where("a IS NOT NULL")
+    return pairs.select("doc_id", (F.col("a.sha") == F.col("b.sha")).alias("exact_equal"), scalars.same_by_probes(F.col("a"), F.col("b")).alias("probe_equal"))
 
 
 @query("clear_epochs", f"""
@@ -223,12 +223,10 @@ def clear_epochs(spark, sf_dir):
 def enabled_periods(spark, sf_dir):
     """Requests that came while the cache was switched on. The state at the start of a day is the last switch before."""
     switch = F.when((F.col("path") == "/signup") & (F.col("client") % 50 == 1), 0).when((F.col("path") == "/signup") & (F.col("client") % 50 == 2), 1)
-    rows = log(spark, sf_dir).select("ts", "req_id", F.to_date("ts").alias("day"), switch.alias("switch"))
-    daily = rows.groupBy("day").agg(F.max_by("switch", F.when(F.col("switch").isNotNull(), F.struct("ts", "req_id"))).alias("last"))
-    before = daily.withColumn("carried", F.last("last", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.last("switch", ignorenulls=True).over(Window.partitionBy("day").orderBy("ts", "req_id").rowsBetween(Window.unboundedPreceding, 0))
-    state = rows.join(before.select("day", "carried"), "day").withColumn("enabled", F.coalesce(inside, F.col("carried"), F.lit(1)))
-    return state.groupBy("day").agg(F.sum("enabled").alias("enabled"), F.count(F.lit(1)).alias("total"))
+    rows = log(spark, sf_dir).select("ts", "req_id", F.lit(1).alias("all"), switch.alias("switch"))
+    known = as_of(rows, "all", F.col("switch").isNotNull(), F.col("switch"), "last", slice_=time_slice(width="minute"))
+    state = known.withColumn("enabled", F.coalesce("switch", "last", F.lit(1)))
+    return state.groupBy(F.to_date("ts").alias("day")).agg(F.sum("enabled").alias("enabled"), F.count(F.lit(1)).alias("total"))
 
 
 @query("sample_per_shard", f"""
@@ -482,7 +480,7 @@ def refresh_elapsed(spark, sf_dir):
     """Seconds since the entry of each request's key was last written, as of that request; null before the first write."""
     known = matched(spark, sf_dir)
     stored = F.col("rule_path").isNotNull() & (F.col("status") == 200)
-    at = storage.as_of(known, "key", stored, F.col("ts"), "refreshed")
+    at = as_of(known, "key", stored, F.col("ts"), "refreshed")
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     return at.select("req_id", (seconds("ts") - seconds("refreshed")).alias("elapsed"))
 
