@@ -146,13 +146,14 @@ def test_bayes_equals_counting(spark):
     rules = [url_filter.parse_rule(x) for x in queries.RULES]
     rows = url_filter.filter_urls(pages, rules).collect()
     counts = Counter(w for r in pages.collect() for w in __import__("regex").findall(r"\p{L}+", __import__("re").sub(r"<[^<>]*>", " ", r["html"]).lower()) if len(w) <= url_filter.LONGEST_WORD)
-    seg = url_filter.Segmenter({w: n for w, n in counts.items() if n > 1})
+    assert len(counts) <= url_filter.UNIGRAMS
+    seg = url_filter.Segmenter(dict(counts))
     seen, n = {"allow": Counter(), "block": Counter()}, Counter()
     for r in rows:
         if r["rule"]:
             n[r["verdict"]] += 1
             seen[r["verdict"]].update(seg.tokens(r["host"], r["path"]))
-    known = {t for t, c in (seen["allow"] + seen["block"]).items() if c > 1}
+    known = set(seen["allow"] + seen["block"])
     total = {v: sum(c for t, c in seen[v].items() if t in known) + len(known) + 1 for v in seen}
     for r in rows:
         if not r["rule"]:

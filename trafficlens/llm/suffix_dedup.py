@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.util import checkpoint, dealt_anew, partitions, text_bytes
+from trafficlens.llm.util import dealt_anew, partitions, text_bytes
 
 WINDOW = 200
 GRAM = 16
@@ -293,6 +293,8 @@ def _cut(window: int, whole: bool):
             for r, text in enumerate(_texts(texts)):
                 n = 2 if copied[r].as_py() else 1
                 for one in runs[r].as_py() or []:
+                    if one["hot"] == whole:
+                        continue
                     a = one["at"] >> 21
                     b = a + (one["at"] >> 1 & CHUNK - 1)
                     if whole:
@@ -461,23 +463,21 @@ def substring_dedup(
     own = spread.where(F.coalesce("is_rep", F.lit(True))).select("id", "tx", "text", F.col("is_rep").isNotNull().alias("copied"))
 
     listed = own.mapInArrow(_find_runs(window), f"id string, tx long, copied boolean, key array<long>, at array<long>")
-    runs = checkpoint(listed).select("id", "tx", "copied", F.explode(F.arrays_zip("key", "at")).alias("r")).select("id", "tx", "copied", "r.*")
+    runs = listed.select("id", "tx", "copied", F.explode(F.arrays_zip("key", "at")).alias("r")).select("id", "tx", "copied", "r.*")
     weight = F.when(F.col("copied"), 2).otherwise(F.col("at").bitwiseAND(F.lit(1)) + 1)
     counts = runs.groupBy("key").agg(F.sum(weight).alias("n")).where("n > 1")
     several = runs.join(dealt_anew(counts, "key"), "key").select("id", "tx", "key", "at", (F.col("n") > hot_runs).alias("hot"))
-
-    def cut(some: DataFrame, whole: bool) -> DataFrame:
-        wanted = some.groupBy("id", "tx").agg(F.collect_list(F.struct("key", "at")).alias("runs"))
-        rows = own.join(wanted, ["id", "tx"]).select("id", "tx", "text", "copied", "runs")
-        return rows.mapInArrow(_cut(window, whole), f"key long, segment {'binary' if whole else 'long'}, id string, tx long, first long, times int")
-
-    dealt = cut(several.where("NOT hot"), True).repartition(n, "key").sortWithinPartitions("key", "segment")
-    found = dealt.mapInArrow(_find_repeats(window, shard_bytes), f"id string, tx long, start long, stop long")
-    if not counts.where(F.col("n") > hot_runs).isEmpty():
-        windows = checkpoint(cut(several.where("hot"), False))
-        again = windows.groupBy("key", "segment").agg(F.sum("times").alias("n")).where("n > 1").select("key", "segment")
-        hot = windows.join(dealt_anew(again, "key"), ["key", "segment"])
-        found = found.unionByName(hot.select("id", "tx", F.col("first").alias("start"), (F.col("first") + F.lit(window)).alias("stop")))
+    wanted = several.groupBy("id", "tx").agg(F.collect_list(F.struct("key", "at", "hot")).alias("runs"))
+    cut = own.join(wanted, ["id", "tx"]).select("id", "tx", "text", "copied", "runs")
+
+    segments = cut.mapInArrow(_cut(window, True), "key long, segment binary, id string, tx long, first long, times int")
+    dealt = segments.repartition(n, "key").sortWithinPartitions("key", "segment")
+    found = dealt.mapInArrow(_find_repeats(window, shard_bytes), "id string, tx long, start long, stop long")
+    some = cut.where(F.exists("runs", lambda r: r["hot"]))
+    windows = some.mapInArrow(_cut(window, False), "key long, segment long, id string, tx long, first long, times int")
+    again = windows.groupBy("key", "segment").agg(F.sum("times").alias("n")).where("n > 1").select("key", "segment")
+    hot = windows.join(dealt_anew(again, "key"), ["key", "segment"])
+    found = found.unionByName(hot.select("id", "tx", F.col("first").alias("start"), (F.col("first") + F.lit(window)).alias("stop")))
     stretches = found.groupBy("id", "tx").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     final = spread.join(stretches, ["id", "tx"], "left").select("id", "text", F.col("is_rep").isNotNull().alias("whole"), "found")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.util import checkpoint, most_frequent
 
-#: Entries of the unigram model and of the classifier's vocabulary: the most frequent that were seen twice or more.
+#: Entries of the unigram model and of the classifier's vocabulary: the most frequent, of equal ones the first in order.
 UNIGRAMS = 50_000
 FEATURES = 50_000
 LONGEST_WORD = 24
@@ -147,8 +147,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     """One row per input row: id, host, path, rule, verdict and score (log odds of block; null where a rule decides).
 
     A url that is null or has no :// has an empty host and path, and gets the verdict of the class priors; with no
-    evidence either way the verdict is allow. Repeated rows are judged each; other columns are ignored; an empty
-    table gives an empty result.
+    evidence either way the verdict is allow. Without rules nothing is learned, and every verdict is allow. Of two rules
+    that fit and are equally long the one later in order of its name decides. Repeated rows are judged each; very long urls
+    and pages are read whole; other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
