@@ -12,9 +12,9 @@ window covers is removed.
    and Kasai's scan gives the common prefixes of neighbours. Windows with a common prefix of WINDOW bytes or more with
    a neighbour repeat.
 3. An anchor with more text than one shard holds gets several; they are merged by binary search of each one's windows
-   in the others' suffix arrays. An anchor beyond HOT_RUNS runs is not held by one task: its windows are counted one by
-   one, by their BLAKE2b digests of 128 bits, in an aggregate that is combined before the shuffle, and found again by a
-   join that Spark may split. Like the SHA-256 of whole texts below, equal digests stand for equal bytes.
+   in the others' suffix arrays. An anchor beyond HOT_RUNS runs is no longer held by one task: its windows travel one
+   by one, as BLAKE2b digests of 128 bits, spread by those digests. Like the SHA-256 of whole texts below, equal digests
+   stand for equal bytes.
 
 Texts that are copies of one another are found first: of each group one goes through the steps above, as occurring
 twice, and the others are repeated as a whole.
@@ -30,13 +30,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trafficlens.llm.util import dealt_anew, partitions, text_bytes
+from trafficlens.llm.util import partitions, text_bytes
 
 WINDOW = 200
 GRAM = 16
 SHARD_BYTES = 1 << 20
-HOT_RUNS = 1 << 11
+HOT_RUNS = 1 << 14
 LANES = 4096
 CHUNK = 1 << 20
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -266,49 +267,51 @@ def _find_runs(window: int):
     return run
 
 
-def _cut(window: int, whole: bool):
-    """The runs of each text that may repeat, as segments (whole), or window by window as digests."""
+def _cut_segments(window: int):
+    """Segments of the runs that may repeat; runs of a hot anchor go window by window, as digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, txs, texts, copied, runs = (batch.column(k) for k in range(5))
-            rows, columns, size = [], ([], [], [], []), 0  # first two: key and segment, or the digest's halves
+            raw = _texts(texts)
+            keys, rows, firsts, segments, times = [], [], [], [], []
+            size = 0
 
-            def out(rows=rows, columns=columns, ids=ids, txs=txs):
+            def out(keys=keys, rows=rows, firsts=firsts, segments=segments, times=times, ids=ids, txs=txs):
                 take = pa.array(rows, pa.int64())
-                a, b, first, times = columns
                 made = pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.binary() if whole else pa.int64()), ids.take(take), txs.take(take), pa.array(first, pa.int64()), pa.array(times, pa.int32())],
-                    ["key", "segment", "id", "tx", "first", "times"],
+                    [pa.array(keys, pa.int64()), ids.take(take), txs.take(take), pa.array(firsts, pa.int64()), pa.array(segments, pa.binary()), pa.array(times, pa.int32())],
+                    ["key", "id", "tx", "first", "segment", "times"],
                 )
-                for x in (rows, *columns):
+                for x in (keys, rows, firsts, segments, times):
                     x.clear()
                 return made
 
-            def add(r, *values, rows=rows, columns=columns):
-                rows.append(r)
-                for column, value in zip(columns, values):
-                    column.append(value)
-
-            for r, text in enumerate(_texts(texts)):
-                n = 2 if copied[r].as_py() else 1
+            for r in range(batch.num_rows):
+                text, n = next(raw), 2 if copied[r].as_py() else 1
                 for one in runs[r].as_py() or []:
-                    if one["hot"] == whole:
-                        continue
                     a = one["at"] >> 21
                     b = a + (one["at"] >> 1 & CHUNK - 1)
-                    if whole:
-                        add(r, one["key"], text[a : b + window], a, n)
-                        size += b - a + window
-                    else:
+                    if one["hot"]:
                         for p in range(a, b + 1):
                             d = blake2b(text[p : p + window], digest_size=16).digest()
-                            add(r, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), p, n)
+                            keys.append(int.from_bytes(d[:8], "little", signed=True))
+                            rows.append(r)
+                            firsts.append(p)
+                            segments.append(d)
+                            times.append(n)
                         size += 64 * (b - a + 1)
+                    else:
+                        keys.append(one["key"])
+                        rows.append(r)
+                        firsts.append(a)
+                        segments.append(text[a : b + window])
+                        times.append(n)
+                        size += b - a + window
                     if size > CHUNK:
                         yield out()
                         size = 0
-            if rows:
+            if keys:
                 yield out()
 
     return run
@@ -345,11 +348,11 @@ class _Repeats:
         self.times += times
         self.where.append(row)
         if self.times > 1:  # repeated as a whole: its rows need not be held
-            self.report(self.where, 0, len(segment))
+            self.report(self.where, 0, max(len(segment), self.window))
             self.where = []
 
     def end_segment(self) -> None:
-        if self.segment is not None:
+        if self.segment is not None and len(self.segment) >= self.window:  # else a digest: equal ones were all
             if self.size >= self.shard_bytes:
                 self.shards.append([])
                 self.size = 0
@@ -396,8 +399,8 @@ def _find_repeats(window: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            state = state or _Repeats(window, shard_bytes, batch.schema.field(2).type)
-            for key, segment, i, tx, first, times in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            state = state or _Repeats(window, shard_bytes, batch.schema.field(1).type)
+            for key, i, tx, first, segment, times in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 state.add(key, segment, (i, tx, first), times)
             yield state.batch()
         if state:
@@ -458,26 +461,22 @@ def substring_dedup(
     groups = groups.withColumn("sha", F.unhex(F.hex("sha")))  # dealt anew, so that Spark can split a large group of copies
     copies = digests.join(groups, "sha").groupBy("id", "tx").agg(F.max(F.col("id") == F.col("rep")).alias("is_rep"))
     # One exchange of texts serves the runs, the segments and the removal: no filter may come between.
-    squeezed = rows.mapInArrow(_squeeze, f"id string, tx long, text binary")
+    squeezed = rows.mapInArrow(_squeeze, "id string, tx long, text binary")
     spread = squeezed.repartition(n, "id", "tx").join(copies, ["id", "tx"], "left")
     own = spread.where(F.coalesce("is_rep", F.lit(True))).select("id", "tx", "text", F.col("is_rep").isNotNull().alias("copied"))
 
     listed = own.mapInArrow(_find_runs(window), f"id string, tx long, copied boolean, key array<long>, at array<long>")
-    runs = listed.select("id", "tx", "copied", F.explode(F.arrays_zip("key", "at")).alias("r")).select("id", "tx", "copied", "r.*")
+    runs = listed.select("id", "tx", "copied", F.explode(F.arrays_zip("key", "at")).alias("r"))
     weight = F.when(F.col("copied"), 2).otherwise(F.col("at").bitwiseAND(F.lit(1)) + 1)
-    counts = runs.groupBy("key").agg(F.sum(weight).alias("n")).where("n > 1")
-    several = runs.join(dealt_anew(counts, "key"), "key").select("id", "tx", "key", "at", (F.col("n") > hot_runs).alias("hot"))
+    # A text has a run for each hundred bytes or so, so even an anchor that all texts share has few of all runs.
+    counted = runs.select("id", "tx", "copied", "r.key", "r.at").withColumn("n", F.sum(weight).over(Window.partitionBy("key")))
+    several = counted.where("n > 1").withColumn("hot", F.col("n") > hot_runs)
     wanted = several.groupBy("id", "tx").agg(F.collect_list(F.struct("key", "at", "hot")).alias("runs"))
-    cut = own.join(wanted, ["id", "tx"]).select("id", "tx", "text", "copied", "runs")
 
-    segments = cut.mapInArrow(_cut(window, True), "key long, segment binary, id string, tx long, first long, times int")
+    cut = own.join(wanted, ["id", "tx"], "left").select("id", "tx", "text", "copied", "runs")
+    segments = cut.mapInArrow(_cut_segments(window), f"key long, id string, tx long, first long, segment binary, times int")
     dealt = segments.repartition(n, "key").sortWithinPartitions("key", "segment")
-    found = dealt.mapInArrow(_find_repeats(window, shard_bytes), "id string, tx long, start long, stop long")
-    some = cut.where(F.exists("runs", lambda r: r["hot"]))
-    windows = some.mapInArrow(_cut(window, False), "key long, segment long, id string, tx long, first long, times int")
-    again = windows.groupBy("key", "segment").agg(F.sum("times").alias("n")).where("n > 1").select("key", "segment")
-    hot = windows.join(dealt_anew(again, "key"), ["key", "segment"])
-    found = found.unionByName(hot.select("id", "tx", F.col("first").alias("start"), (F.col("first") + F.lit(window)).alias("stop")))
+    found = dealt.mapInArrow(_find_repeats(window, shard_bytes), f"id string, tx long, start long, stop long")
     stretches = found.groupBy("id", "tx").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     final = spread.join(stretches, ["id", "tx"], "left").select("id", "text", F.col("is_rep").isNotNull().alias("whole"), "found")
