@@ -465,7 +465,7 @@ def substring_dedup(
     spread = squeezed.repartition(n, "id", "tx").join(copies, ["id", "tx"], "left")
     own = spread.where(F.coalesce("is_rep", F.lit(True))).select("id", "tx", "text", F.col("is_rep").isNotNull().alias("copied"))
 
-    listed = own.mapInArrow(_find_runs(window), f"id string, tx long, copied boolean, key array<long>, at array<long>")
+    listed = own.mapInArrow(_find_runs(window), "id string, tx long, copied boolean, key array<long>, at array<long>")
     runs = listed.select("id", "tx", "copied", F.explode(F.arrays_zip("key", "at")).alias("r"))
     weight = F.when(F.col("copied"), 2).otherwise(F.col("at").bitwiseAND(F.lit(1)) + 1)
     # A text has a run for each hundred bytes or so, so even an anchor that all texts share has few of all runs.
@@ -476,10 +476,10 @@ def substring_dedup(
     cut = own.join(wanted, ["id", "tx"], "left").select("id", "tx", "text", "copied", "runs")
     segments = cut.mapInArrow(_cut_segments(window), f"key long, id string, tx long, first long, segment binary, times int")
     dealt = segments.repartition(n, "key").sortWithinPartitions("key", "segment")
-    found = dealt.mapInArrow(_find_repeats(window, shard_bytes), f"id string, tx long, start long, stop long")
+    found = dealt.mapInArrow(_find_repeats(window, shard_bytes), "id string, tx long, start long, stop long")
     stretches = found.groupBy("id", "tx").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     final = spread.join(stretches, ["id", "tx"], "left").select("id", "text", F.col("is_rep").isNotNull().alias("whole"), "found")
-    out = final.mapInArrow(_remove, f"id string, n_bytes long, spans array<struct<start: bigint, stop: bigint>>, kept binary")
+    out = final.mapInArrow(_remove, "id string, n_bytes long, spans array<struct<start: bigint, stop: bigint>>, kept binary")
     own_id = F.when(F.col("id") != "null", F.substring("id", 2, 1 << 30).cast(docs.schema[id_col].dataType))
     return out.select(own_id.alias(id_col), "n_bytes", "spans", "kept")
