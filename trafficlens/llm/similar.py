@@ -9,8 +9,10 @@ bucket key. There are as many samples as keep a pair right at the least similari
 In a bucket, the Gray-order index over the next number of the fingerprint finds the pairs within the number of bits that
 such a pair stays below with probability `WITHIN`. A pair so proposed links if its sets of shingles are similar enough,
 by counting. Where more than `SMALL` rows of a bucket hang together, they first propose a spanning forest, so a large
-group of near copies becomes one component without being paired up; then those of their pairs are counted that are still
-in two components.
+group of near copies becomes one component without being paired up. Then, in rounds, each row is compared with `FEW`
+others that are still in another component, with `MORE` times as many in the next round, and so on until no row has a
+partner in another component that it was not compared with. So all links between components are found, but pairs inside
+a component are not counted, and a group whose members are partly linked soon is one.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ WITHIN = 0.97
 #: The samples are so long that a bucket of evenly spread fingerprints has about so many rows.
 MEAN_BUCKET = 64
 SMALL = 8
+#: Partners that a row of a larger group is compared with at first, and by how much they grow until no row has more.
+FEW, MORE = 2, 8
 #: So many digests of texts, 40 bytes each, may go to all executors.
 BROADCAST_ROWS = 1_000_000
 
@@ -148,14 +152,26 @@ def _propose(buckets: DataFrame, max_bits: int, least: tuple[int, int], bucket_r
     return checkpoint(spread.mapInPandas(_first(max_bits, least), "key long, u long, v long, n int, fp long"))
 
 
-def _rest(rows: DataFrame, max_bits: int, least: tuple[int, int]) -> DataFrame:
-    """(u, v): of rows (key, one, two, side, vertex, n, c, fp), all pairs in different components that may link."""
+def _rest(rows: DataFrame, max_bits: int, least: tuple[int, int], few: int) -> DataFrame:
+    """(u, v): of rows (key, one, two, side, vertex, n, c, fp), the pairs in different components that may link.
+
+    Of each row the pairs with up to `few` others, by a random order of all vertices that is the same in all tasks; rows
+    that have more come out as (u, -1). Another `few` has another order."""
 
     def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         rows, index = simhash.sorted_forest(rows, first)
         a, b = _pairs_within(rows, index, max_bits, least)
         vertex = rows["vertex"].to_numpy()
-        return pd.DataFrame({"u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b])}).drop_duplicates()
+        mixed = (vertex.astype(np.uint64) + np.uint64(few)) * np.uint64(0x9E3779B97F4A7C15)
+        turn = hashed_again(mixed, 1)
+        one, other = np.r_[a, b], np.r_[b, a]
+        order = np.lexsort((turn[other], one))
+        one, other = one[order], other[order]
+        place = np.arange(len(one)) - np.searchsorted(one, one)
+        u, v = vertex[one[place < few]], vertex[other[place < few]]
+        more = np.unique(vertex[one[place == few]])
+        pairs = pd.DataFrame({"u": np.r_[np.maximum(u, v), more], "v": np.r_[np.minimum(u, v), np.full(len(more), -1)]})
+        return pairs.drop_duplicates()
 
     by = ["key", "one", "two"]
     spread = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
@@ -246,9 +262,15 @@ def simhash_similar(
     first = links(tried)
     found = components(first)
     unsettled = proposed.where("v < 0").select("key", F.col("u").alias("vertex"), "n", "fp")
-    more = checkpoint(_rest(_remaining(unsettled, found, bucket_rows), max_bits, least).join(tried, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        found = components(first.unionByName(links(more)))
+    linked, few, on = first, FEW, True
+    while on:
+        more = checkpoint(_rest(_remaining(unsettled, found, bucket_rows), max_bits, least, few))
+        fresh = checkpoint(more.where("v >= 0").join(tried, ["u", "v"], "left_anti"))
+        on = not more.where("v < 0").isEmpty()
+        if not fresh.isEmpty():
+            tried, linked = tried.unionByName(fresh), linked.unionByName(links(fresh))
+            found = components(linked)
+        few *= MORE
 
     classes = vertices.join(found, "vertex", "left").select("digest", "rep", F.coalesce("component", "vertex").alias("c"))
     smallest = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
