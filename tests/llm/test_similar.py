@@ -79,19 +79,40 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch, small, most):
 
 
 def test_pairs_right_at_the_threshold_are_missed_as_seldom_as_stated():
-    """Recall of the bucket keys and of the radius over pairs of exactly 0.8, as for a million texts."""
+    """Recall of the bucket keys and of both radiuses over pairs of exactly 0.8, as for a million texts."""
     r = np.random.default_rng(4)
     keys, bits = similar.samples(1_000_000, LEAST)
-    found = 0
+    whole, found = similar.radius(64 * similar.WORDS, LEAST, similar.WHOLE_WITHIN), 0
     for _ in range(400):
         both, a, b = np.split(r.integers(0, 1 << 63, 400 + 50 + 50, dtype=np.uint64), [400, 450])
         x, y = (similar.wide_fingerprint(np.concatenate([both, own])) for own in (a, b))
-        found += any(
+        found += int(np.bitwise_count(x ^ y).sum()) <= whole and any(
             not int(x[k] ^ y[k]) & mask and int(x[(k + 1) % similar.WORDS] ^ y[(k + 1) % similar.WORDS]).bit_count() <= bits for k, mask in keys
         )
     assert found >= 390
 
 
+def test_hubs_are_nearest_to_the_majority_of_their_group():
+    fps = np.array([0b0111, 0b0011, 0b1011, 0, 0b0011, 1 << 63, 1 << 63], np.uint64)
+    label = np.array([0, 0, 0, 3, 0, 5, 5])
+    vertex = np.array([1, 9, 2, 3, 4, 8, 7])
+    assert similar._hubs(fps, vertex, label).tolist() == [4, 4, 4, 3, 4, 6, 6]
+
+
+def test_a_large_group_of_copies_of_a_template(spark):
+    """400 copies with 0 to 8 words changed: one hub takes most; those that it does not, link with others or with none."""
+    r, words = random.Random(8), [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(400):
+        near = list(words)
+        for at in r.sample(range(150), r.randrange(9)):
+            near[at] = f"x{r.randrange(3)}"
+        rows.append((k, " ".join(near)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert sum(got[i] != want[i] for i in got) <= 2 and 50 < sum(c == 0 for c in want.values()) < 390
+
+
 def test_of_nothing_and_of_null_ids(spark):
     assert simhash_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = " ".join(f"w{k}" for k in range(300))

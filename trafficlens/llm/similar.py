@@ -7,10 +7,11 @@ bucket key. There are as many samples as keep a pair right at the least similari
 `MISS`; pairs of greater similarity are missed less. Larger tables have longer samples, and so more of them.
 
 In a bucket, the Gray-order index over the next number of the fingerprint finds the pairs within the number of bits that
-such a pair stays below with probability `WITHIN`. A pair so proposed links if its sets of shingles are similar enough,
-by counting. Where more than `SMALL` rows of a bucket hang together, they first propose a spanning forest, so a large
-group of near copies becomes one component without being paired up; then those of their pairs are counted that are still
-in two components.
+such a pair stays below with probability `WITHIN`. A pair so proposed whose whole fingerprints differ in few enough bits
+(`WHOLE_WITHIN`) links if its sets of shingles are similar enough, by counting. Where more than `SMALL` rows of a bucket
+hang together, each first proposes a link with their hub, the row nearest to the majority of their bits, so most of a large
+group of near copies becomes one component by as many pairs as it has rows; then those pairs are counted that are still in
+two components. Sets of shingles meet in cells of two blocks of texts, so a text's set goes to a cell once, not once a pair.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ LEAST = (4, 5)
 WORDS = 8
 MISS = 0.005
 WITHIN = 0.97
+#: The share of pairs right at the least similarity whose whole fingerprints are near enough; the rest is part of MISS.
+WHOLE_WITHIN = 0.998
 #: The samples are so long that a bucket of evenly spread fingerprints has about so many rows.
 MEAN_BUCKET = 64
 SMALL = 8
+#: Texts in a block of those whose sets of shingles are compared.
+BLOCK_TEXTS = 2048
 #: So many digests of texts, 40 bytes each, may go to all executors.
 BROADCAST_ROWS = 1_000_000
 
@@ -64,13 +69,19 @@ def differing(least: tuple[int, int]) -> float:
     return acos(2 * s / (1 + s)) / pi
 
 
+def radius(bits: int, least: tuple[int, int], within: float) -> int:
+    """The number of differing bits, of so many, that a pair right at the least similarity stays at or below this often."""
+    d = differing(least)
+    chance = (comb(bits, k) * d**k * (1 - d) ** (bits - k) for k in range(bits + 1))
+    return next(k for k, p in enumerate(accumulate(chance)) if p >= within)
+
+
 def samples(n: int, least: tuple[int, int]) -> tuple[list[tuple[int, int]], int]:
     """([(number of the fingerprint, mask of its bits)], max_bits): the bucket keys for n texts, and the index's radius."""
     d = differing(least)
-    chance = [comb(64, k) * d**k * (1 - d) ** (64 - k) for k in range(65)]
-    max_bits = next(k for k, p in enumerate(accumulate(chance)) if p >= WITHIN)
+    max_bits = radius(64, least, WITHIN)
     size = min(32, max(4, ceil(log2(max(n, 1) / MEAN_BUCKET)) if n > MEAN_BUCKET else 4))
-    times = ceil(log(MISS) / log(1 - (1 - d) ** size * WITHIN))
+    times = ceil(log(MISS - (1 - WHOLE_WITHIN)) / log(1 - (1 - d) ** size * WITHIN))
     r = np.random.default_rng(SEED)
     return [(t % WORDS, sum(1 << int(b) for b in r.choice(64, size, replace=False))) for t in range(times)], max_bits
 
@@ -107,10 +118,24 @@ def _pairs_within(rows: pd.DataFrame, index, max_bits: int, least: tuple[int, in
     return tuple(np.concatenate(found, axis=1))
 
 
+def _hubs(fps: np.ndarray, vertex: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row, the position of the row nearest to the majority bits of its label's rows; of equal ones the smallest vertex."""
+    order = np.lexsort((vertex, label))
+    start = np.flatnonzero(np.diff(label[order], prepend=-1))
+    many = np.diff(np.r_[start, len(order)])
+    bits = np.unpackbits(fps[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    most = majorities(np.add.reduceat(bits, start, axis=0, dtype=np.int64), many[:, None])
+    off = np.bitwise_count(fps[order] ^ np.repeat(most, many))
+    near = np.lexsort((np.arange(len(order)), off, label[order]))  # within a label: by distance, then by vertex
+    hub = np.empty(len(order), np.int64)
+    hub[order] = np.repeat(order[near[start]], many)
+    return hub
+
+
 def _first(max_bits: int, least: tuple[int, int]):
     """The task of a partition: rows (key, one, whole, vertex, n, fp), sorted by bucket, to pairs (u, v) that may link.
 
-    What up to SMALL rows of a bucket propose are all their pairs. More rows that hang together propose a spanning forest,
+    What up to SMALL rows of a bucket propose are all their pairs. More rows that hang together each propose their hub,
     and come out themselves as rows (key, u, n, fp) of a group that is not settled; so do all rows of a large bucket."""
 
     def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
@@ -120,9 +145,11 @@ def _first(max_bits: int, least: tuple[int, int]):
         label = _forest(len(rows), a, b)
         size = np.bincount(label, minlength=len(rows))[label]
         few = size[a] <= SMALL
-        top = np.flatnonzero((label != np.arange(len(rows))) & (size > SMALL))
-        a, b = np.r_[a[few], top], np.r_[b[few], label[top]]
         vertex, fp, n = (rows[x].to_numpy() for x in ("vertex", "fp", "n"))
+        many = np.flatnonzero(size > SMALL)
+        hub = many[_hubs(index.fps[many], vertex[many], label[many])] if len(many) else many
+        many, hub = many[many != hub], hub[many != hub]
+        a, b = np.r_[a[few], many], np.r_[b[few], hub]
         pairs = pd.DataFrame({"key": 0, "u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b]), "n": 0, "fp": 0})
         whole = rows["whole"].to_numpy()
         open_ = np.flatnonzero((size > SMALL) | ~whole)
@@ -149,11 +176,16 @@ def _propose(buckets: DataFrame, max_bits: int, least: tuple[int, int], bucket_r
 
 
 def _rest(rows: DataFrame, max_bits: int, least: tuple[int, int]) -> DataFrame:
-    """(u, v): of rows (key, one, two, side, vertex, n, c, fp), all pairs in different components that may link."""
+    """(u, v): of rows (key, one, two, side, vertex, n, c, fp, words), all pairs in different components that may link."""
+    whole = radius(64 * WORDS, least, WHOLE_WITHIN)
 
     def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         rows, index = simhash.sorted_forest(rows, first)
         a, b = _pairs_within(rows, index, max_bits, least)
+        if len(a):
+            words = np.stack(rows["words"].to_numpy()).view(np.uint64)  # of negative numbers, numpy would count the bits of the magnitude
+            off = sum(np.bitwise_count(words[a, k] ^ words[b, k]).astype(np.int64) for k in range(WORDS))
+            a, b = a[off <= whole], b[off <= whole]
         vertex = rows["vertex"].to_numpy()
         return pd.DataFrame({"u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b])}).drop_duplicates()
 
@@ -191,13 +223,40 @@ def _remaining(buckets: DataFrame, found: DataFrame, bucket_rows: int) -> DataFr
     return rows.select("key", F.explode(tasks).alias("t"), "vertex", "n", "c", "fp").select("key", "t.*", "vertex", "n", "c", "fp")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough: i / (m + n - i) >= p / q."""
+def _near(pairs: DataFrame, vertices: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose whole fingerprints differ in few enough bits."""
+    left = vertices.select(F.col("vertex").alias("u"), F.col("words").alias("a"))
+    right = vertices.select(F.col("vertex").alias("v"), F.col("words").alias("b"))
+    off = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(WORDS)), F.lit(0))
+    return pairs.join(left, "u").join(right, "v").where(off <= radius(64 * WORDS, least, WHOLE_WITHIN)).select("u", "v")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, blocks: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets (vertex, shingles: sorted numbers as bytes) are similar enough: i / (m + n - i) >= p / q.
+
+    A pair is counted in the cell of its texts' blocks, a bounded number of texts each. So a text with very many pairs
+    is dealt out over cells, and its set comes to each of them once."""
     p, q = least
-    left = sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("vertex").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long") * F.lit(p + q)
-    return pairs.join(left, "u").join(right, "v").where(both >= F.lit(p) * (F.size("a") + F.size("b"))).select("u", "v")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = pairs.select(block("u").alias("one"), block("v").alias("two"), "u", "v")
+    called = cells.select("one", "two", F.explode(F.array("u", "v")).alias("vertex")).distinct()
+    brought = called.join(sets, "vertex").select("one", "two", F.col("vertex").alias("u"), F.lit(-1).cast("long").alias("v"), "shingles")
+
+    def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        cell = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(rows)]))
+        u, v, shingles = (rows[x].to_numpy() for x in ("u", "v", "shingles"))
+        have = {(cell[k], u[k]): np.frombuffer(shingles[k], np.uint64) for k in np.flatnonzero(v < 0)}
+
+        def links(k: int) -> bool:
+            x, y = have[cell[k], u[k]], have[cell[k], v[k]]
+            return (p + q) * len(np.intersect1d(x, y, assume_unique=True)) >= p * (len(x) + len(y))
+
+        on = [k for k in np.flatnonzero(v >= 0) if links(k)]
+        return pd.DataFrame({"u": u[on], "v": v[on]}, dtype=np.int64)
+
+    rows = brought.unionByName(cells.withColumn("shingles", F.lit(None).cast("binary")))
+    spread = rows.repartition(partitions(rows.sparkSession), "one", "two").sortWithinPartitions("one", "two")
+    return spread.mapInPandas(lambda frames: simhash.whole_buckets(frames, ["one", "two"], of), "u long, v long")
 
 
 def simhash_similar(
@@ -228,25 +287,27 @@ def simhash_similar(
     ]
     buckets = vertices.where("n > 0").select("vertex", "n", F.explode(F.array(*sample)).alias("s")).select("s.key", "vertex", "n", "s.fp")
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
+        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
 
     def links(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.col("u").alias("vertex")).unionByName(pairs.select(F.col("v").alias("vertex"))).distinct()
         texts = docs.select(text_sha(text_col).alias("sha"), F.col(text_col).alias("text"))
         met = checkpoint(met.join(vertices.select("vertex", "sha"), "vertex"))
         # Few texts in pairs: their digests go to the texts. Otherwise the texts are shuffled.
-        own = texts.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "sha")
+        n = met.count()
+        own = texts.join(F.broadcast(met) if n <= BROADCAST_ROWS else met, "sha")
         sets = checkpoint(own.groupBy("vertex").agg(F.min("text").alias("text")).select("vertex", shingles("text").alias("shingles")))
-        return checkpoint(_linked(pairs, sets, least))
+        return checkpoint(_linked(pairs, sets, max(1, ceil(n / BLOCK_TEXTS)), least))
 
     proposed = _propose(buckets, max_bits, least, bucket_rows)
-    tried = checkpoint(proposed.where("v >= 0").select("u", "v").distinct())
+    tried = checkpoint(_near(proposed.where("v >= 0").select("u", "v").distinct(), vertices, least))
     first = links(tried)
     found = components(first)
     unsettled = proposed.where("v < 0").select("key", F.col("u").alias("vertex"), "n", "fp")
-    more = checkpoint(_rest(_remaining(unsettled, found, bucket_rows), max_bits, least).join(tried, ["u", "v"], "left_anti"))
+    open_rows = _remaining(unsettled, found, bucket_rows).join(vertices.select("vertex", "words"), "vertex")
+    more = checkpoint(_rest(open_rows, max_bits, least).join(tried, ["u", "v"], "left_anti"))
     if not more.isEmpty():
         found = components(first.unionByName(links(more)))
 
