@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +295,42 @@ def test_clear_tokens(spark):
     assert got[2][1] == "t1" and got[11][1] == "t10" and got[12][1] == "t12"
 
 
+@pytest.mark.parametrize("uses", [0, 0.02, 0.5])
+def test_clear_tokens_do_not_depend_on_slices(spark, uses):
+    """One fold over each instance's requests, nulls and equal times included, whatever the slices."""
+    from trafficlens.operators import control
+
+    r = random.Random(6)
+    rows = [(r.choice([1, 2, None]), i, r.randrange(-2000, 60_000) if i % 50 else None, r.choice(["bad", f"t{i - 1}", f"t{i - 2}"]) if r.random() < uses else None) for i in range(900)]
+    want = {}
+    for instance in (1, 2, None):
+        token, expires = "", 0
+        for _, i, at, asked in sorted((x for x in rows if x[0] == instance), key=lambda x: (x[2] is not None, x[2] or 0, x[1])):
+            live = token != "" and at is not None and at < expires
+            if asked is not None:
+                want[i] = ("cleared" if live and asked == token else "refused", asked, instance)
+                token = ""
+            else:
+                token, expires = (token, expires) if live else (f"t{i}", at + 300) if at is not None else ("", 0)
+                want[i] = ("reused" if live else "issued", token or f"t{i}", instance)
+    df = spark.createDataFrame(rows, "instance int, req_id long, at long, token string")
+    for width in (100, 3600, 86_400):
+        got = {x["req_id"]: (x["answer"], x["token"], x["instance"]) for x in control.clear_requests(df, width).collect()}
+        assert got == want, width
+    assert control.clear_requests(df.limit(0)).count() == 0
+
+
+def test_clear_tokens_of_a_busy_instance_take_time_in_proportion(spark):
+    """100,000 requests of one instance: with an array of answers that is copied at each step, minutes."""
+    from trafficlens.operators import control
+
+    ids = spark.range(100_000)
+    df = ids.select(F.lit(1).alias("instance"), F.col("id").alias("req_id"), (F.col("id") * 7).alias("at"), F.when(F.col("id") % 3 == 2, "wrong").alias("token"))
+    began = time.monotonic()
+    counts = {x["answer"]: x["count"] for x in control.clear_requests(df).groupBy("answer").count().collect()}
+    assert counts == {"issued": 33_334, "reused": 33_333, "refused": 33_333} and time.monotonic() - began < 60
+
+
 def test_replay_without_limit_is_the_plain_storage(spark):
     from trafficlens.operators import control
 

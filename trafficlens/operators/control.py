@@ -2,39 +2,112 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN_SECONDS = 300
-_TOKEN = "struct<token:string,expires:bigint,out:array<struct<req_id:bigint,answer:string,token:string>>>"
 
 
-def clear_requests(events: DataFrame) -> DataFrame:
+def _answers(events: list[tuple], token: str | None, expires: int) -> tuple[list[tuple], str | None, int]:
+    """(answer, token) of each of the events (at, req_id, token) in order, and the token and its end that are left."""
+    out = []
+    for at, req_id, asked in events:
+        live = bool(token) and at < expires
+        if asked is not None:
+            out.append(("cleared" if live and asked == token else "refused", asked))
+            token, expires = "", 0
+            continue
+        if not live:
+            token, expires = None if req_id is None else f"t{req_id}", at + TOKEN_SECONDS
+        out.append(("reused" if live else "issued", token))
+    return out, token, expires
+
+
+def _in_order(events: pa.Table) -> list[tuple]:
+    rows = zip(*(events.column(c).to_pylist() for c in ("at", "req_id", "token")))
+    return sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] is not None, r[2] or ""))
+
+
+def _exits(events: list[tuple], begin: int) -> list[tuple]:
+    """What a slice that begins at `begin` makes of the token it is entered with: rows (since, token, expires).
+
+    A token that ends at or before `since`, and after the since of the row before, leaves the slice as that row's token;
+    one that outlasts all rows leaves as it came. A used token is gone, so a slice with a use has one row, since null.
+    Without uses only the first second at or after the end of the entering token matters: TOKEN_SECONDS rows at most, and one."""
+    used = [k for k, (_, _, asked) in enumerate(events) if asked is not None]
+    if used:
+        return [(None, *_answers(events[used[-1] + 1 :], "", 0)[1:])]
+    first = [k for k, (at, _, _) in enumerate(events) if not k or events[k - 1][0] != at]
+    seconds = [events[k][0] for k in first]
+    after: list[tuple] = [()] * len(first)
+    for i in range(len(first) - 1, -1, -1):  # a token issued here, and those that follow it
+        at, req_id, _ = events[first[i]]
+        then = bisect_left(seconds, at + TOKEN_SECONDS)
+        after[i] = after[then] if then < len(first) else (None if req_id is None else f"t{req_id}", at + TOKEN_SECONDS)
+    return [(at, *left) for at, left in zip(seconds, after)][: bisect_left(seconds, begin + TOKEN_SECONDS) + 1]
+
+
+def clear_requests(events: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     """The answer to each request to clear the storage. Columns: instance, req_id, at (unix seconds), token (null asks for one).
 
     A request without a token gets the one that is valid, or a new one for TOKEN_SECONDS. A request with the valid
     token clears; any request with a token, right or wrong, uses the token up. Answers: issued, reused, cleared,
-    refused. A new token is named after the request that made it. What is gathered are an instance's control events.
+    refused. A new token is named after the request that made it. Requests without a time come first and find no token.
+
+    Made in two steps: each slice of an instance's time says what it makes of any token it may be entered with (see
+    `_exits`), these are walked from slice to slice, and then each slice is answered by itself, in time that grows with
+    its events. So a busy instance is dealt out over its slices.
     """
-    gathered = events.groupBy("instance").agg(F.sort_array(F.collect_list(F.struct("at", "req_id", "token"))).alias("events"))
-    start = F.from_json(F.lit('{"token":"","expires":0,"out":[]}'), _TOKEN)
-
-    def step(s: Column, e: Column) -> Column:
-        live = (s["token"] != "") & (e["at"] < s["expires"])
-        asks = e["token"].isNull()
-        made = F.concat(F.lit("t"), e["req_id"].cast("string"))
-        answer = F.when(asks & live, "reused").when(asks, "issued").when(live & (e["token"] == s["token"]), "cleared").otherwise("refused")
-        token = F.when(asks & live, s["token"]).when(asks, made).otherwise("")
-        expires = F.when(asks & live, s["expires"]).when(asks, e["at"] + TOKEN_SECONDS).otherwise(F.lit(0)).cast("bigint")
-        row = F.struct(e["req_id"].alias("req_id"), answer.alias("answer"), F.coalesce(e["token"], token).alias("token"))
-        return F.struct(token.alias("token"), expires.alias("expires"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = gathered.select("instance", F.explode(F.aggregate("events", start, step)["out"]).alias("o"))
-    return folded.select("instance", "o.req_id", "o.answer", "o.token")
+    kind = events.schema["instance"].dataType.simpleString()
+    rows = events.select("instance", F.col("req_id").cast("bigint").alias("req_id"), F.col("at").cast("bigint").alias("at"), "token")
+    slice_ = F.floor(F.col("at") / F.lit(slice_seconds)).cast("bigint")
+    timed = rows.where("at IS NOT NULL").withColumn("slice", slice_)
+
+    def exits(key: tuple, slice_events: pa.Table) -> pa.Table:
+        made = _exits(_in_order(slice_events), key[1].as_py() * slice_seconds)
+        columns = zip(*made)
+        n = len(made)
+        return pa.table([_repeat(key[0], n), _repeat(key[1], n), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64())))],
+                        names=["instance", "slice", "since", "token", "expires"])
+
+    def entries(key: tuple, made: pa.Table) -> pa.Table:
+        by_slice = defaultdict(list)
+        for at, *row in zip(*(made.column(c).to_pylist() for c in ("slice", "since", "token", "expires"))):
+            by_slice[at].append(tuple(row))
+        token, expires, out = "", 0, []
+        for at in sorted(by_slice):
+            out.append((at, token, expires))
+            left = sorted(by_slice[at], key=lambda r: r[0] or 0)
+            found = next((r for r in left if r[0] is None or not token or r[0] >= expires), None)
+            token, expires = found[1:] if found else (token, expires)
+        columns = zip(*out)
+        return pa.table([_repeat(key[0], len(out)), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64())))],
+                        names=["of", "slice_", "held", "until"])
+
+    def answers(key: tuple, slice_events: pa.Table) -> pa.Table:
+        ordered = _in_order(slice_events)
+        held, until = (slice_events.column(c)[0].as_py() for c in ("held", "until"))
+        answer, token = zip(*_answers(ordered, held, until)[0])
+        return pa.table([_repeat(key[0], len(ordered)), pa.array([r[1] for r in ordered], pa.int64()), pa.array(answer, pa.string()), pa.array(token, pa.string())],
+                        names=["instance", "req_id", "answer", "token"])
+
+    summed = timed.groupBy("instance", "slice").applyInArrow(exits, f"instance {kind}, slice bigint, since bigint, token string, expires bigint")
+    entered = summed.groupBy("instance").applyInArrow(entries, f"of {kind}, slice_ bigint, held string, until bigint")
+    met = timed.join(entered, F.col("instance").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("slice_"))).drop("of", "slice_")
+    found = met.groupBy("instance", "slice").applyInArrow(answers, f"instance {kind}, req_id bigint, answer string, token string")
+    made = F.when(F.col("token").isNull(), F.concat(F.lit("t"), F.col("req_id").cast("string"))).otherwise(F.col("token"))
+    answer = F.when(F.col("token").isNull(), "issued").otherwise("refused")
+    return found.unionByName(rows.where("at IS NULL").select("instance", "req_id", answer.alias("answer"), made.alias("token")))
+
+
+def _repeat(value: pa.Scalar, n: int) -> pa.Array:
+    return pa.array([value.as_py()] * n, value.type)
 
 
 class _Frequencies:
