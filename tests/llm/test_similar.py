@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline as cp
@@ -113,6 +114,43 @@ def test_a_large_group_of_copies_of_a_template(spark):
     assert sum(got[i] != want[i] for i in got) <= 2 and 50 < sum(c == 0 for c in want.values()) < 390
 
 
+@pytest.mark.parametrize("block", [1024, 70])
+def test_a_large_group_of_texts_below_the_threshold_is_no_list_of_pairs(spark, monkeypatch, block):
+    """300 copies of a template, nearly all pairs at 0.77: a hub takes few, yet no more pairs are listed than with hubs."""
+    r, words, listed = random.Random(9), [f"w{k}" for k in range(1200)], []
+    linked = similar._linked
+    monkeypatch.setattr(similar, "GROUP_BLOCK", block, raising=False)
+    monkeypatch.setattr(similar, "_linked", lambda pairs, *rest: listed.append(pairs.count()) or linked(pairs, *rest))
+    rows = []
+    for k in range(300):
+        near = list(words)
+        for at in r.sample(range(10, 1160, 5), 16):
+            near[at] = f"x{k}at{at}"
+        rows.append((k, " ".join(near)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and len(set(want.values())) > 30
+    assert 0 < sum(listed) <= 10 * len(rows)
+
+
+def test_cells_join_what_links_and_return_a_forest():
+    """Links of a cell against brute force: of blocks that meet, and of one with itself, some of it joined before."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[r.random(60) < 0.89], r.integers(0, 1 << 63, 2, dtype=np.uint64)]) for _ in range(80)]
+    p, q = LEAST
+    for both in (False, True):
+        side, c = np.where(np.arange(80) % 3 == 0, 1, 2) if both else np.full(80, 3), np.where(np.arange(80) < 20, 7, 100 + np.arange(80))
+        cell = pd.DataFrame({"n": [len(s) for s in sets], "side": side, "c": c, "words": [similar.wide_fingerprint(s).view(np.int64) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+        def label(links, c=c):
+            return similar._forest(80, *np.array([*links, *((0, k) for k in range(80) if c[k] == 7)]).T).tolist()
+
+        on = [(a, b) for a in range(80) for b in range(a) if side[a] | side[b] == 3 and q * len(np.intersect1d(sets[a], sets[b])) >= p * len(np.union1d(sets[a], sets[b]))]
+        links = similar._joined(cell, 512, LEAST)
+        assert label(links) == label(on) and 1 < len(set(label(on))) < 61 and len(links) == 61 - len(set(label(on)))
+
+
 def test_of_nothing_and_of_null_ids(spark):
     assert simhash_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     long = " ".join(f"w{k}" for k in range(300))

@@ -9,9 +9,11 @@ bucket key. There are as many samples as keep a pair right at the least similari
 In a bucket, the Gray-order index over the next number of the fingerprint finds the pairs within the number of bits that
 such a pair stays below with probability `WITHIN`. A pair so proposed whose whole fingerprints differ in few enough bits
 (`WHOLE_WITHIN`) links if its sets of shingles are similar enough, by counting. Where more than `SMALL` rows of a bucket
-hang together, each first proposes a link with their hub, the row nearest to the majority of their bits, so most of a large
-group of near copies becomes one component by as many pairs as it has rows; then those pairs are counted that are still in
-two components. Sets of shingles meet in cells of two blocks of texts, so a text's set goes to a cell once, not once a pair.
+hang together, only their links with their hub are proposed, the row nearest to the majority of their bits, so most of a
+large group of near copies becomes one component by as many pairs as it has rows. What such groups still have in several
+components meets as texts, never as a list of pairs: groups around one largest component are one, its texts are dealt out
+as cells of two blocks, and a cell has the whole fingerprints and the sets of its texts. It compares those in different
+components, joins them as it goes, and returns links that connect what belongs together: fewer than it has texts.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ MEAN_BUCKET = 64
 SMALL = 8
 #: Texts in a block of those whose sets of shingles are compared.
 BLOCK_TEXTS = 2048
+#: Texts in a block of a large group, and shingles that are looked up at once.
+GROUP_BLOCK = 1024
+_COUNTED_AT_ONCE = 1 << 20
 #: So many digests of texts, 40 bytes each, may go to all executors.
 BROADCAST_ROWS = 1_000_000
 
@@ -106,14 +111,12 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def _pairs_within(rows: pd.DataFrame, index, max_bits: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs in different components that the index finds within `max_bits`, of sizes that can link.
-
-    side is 1 and 2 for the two chunks of a bucket that meet, and 3 for rows that are compared with all."""
+    """Positions of the pairs that the index finds within `max_bits`, of sizes that can link."""
     p, q = least
-    n, c, side = (rows[x].to_numpy() for x in ("n", "c", "side"))
+    n = rows["n"].to_numpy()
     found = [np.empty((2, 0), np.int64)]
     for a, b in index.all_links(max_bits) if len(rows) else ():
-        on = (c[a] != c[b]) & (side[a] | side[b] == 3) & (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b]))
+        on = q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])
         found.append(np.stack([a[on], b[on]]))
     return tuple(np.concatenate(found, axis=1))
 
@@ -136,32 +139,31 @@ def _first(max_bits: int, least: tuple[int, int]):
     """The task of a partition: rows (key, one, whole, vertex, n, fp), sorted by bucket, to pairs (u, v) that may link.
 
     What up to SMALL rows of a bucket propose are all their pairs. More rows that hang together each propose their hub,
-    and come out themselves as rows (key, u, n, fp) of a group that is not settled; so do all rows of a large bucket."""
+    and come out themselves as rows (key, u) of a group that is not settled; so do all rows of a large bucket."""
 
     def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         rows, index = simhash.sorted_forest(rows, first)
-        rows = rows.assign(side=3, c=rows["vertex"])
         a, b = _pairs_within(rows, index, max_bits, least)
         label = _forest(len(rows), a, b)
         size = np.bincount(label, minlength=len(rows))[label]
         few = size[a] <= SMALL
-        vertex, fp, n = (rows[x].to_numpy() for x in ("vertex", "fp", "n"))
+        vertex = rows["vertex"].to_numpy()
         many = np.flatnonzero(size > SMALL)
         hub = many[_hubs(index.fps[many], vertex[many], label[many])] if len(many) else many
         many, hub = many[many != hub], hub[many != hub]
         a, b = np.r_[a[few], many], np.r_[b[few], hub]
-        pairs = pd.DataFrame({"key": 0, "u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b]), "n": 0, "fp": 0})
+        pairs = pd.DataFrame({"key": 0, "u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b])})
         whole = rows["whole"].to_numpy()
         open_ = np.flatnonzero((size > SMALL) | ~whole)
         key = rows["key"].to_numpy()[open_] ^ np.where(whole, vertex[label], 0)[open_] * 0x9E3779B97F4A7C1  # any number that tells groups apart
-        rest = pd.DataFrame({"key": key, "u": vertex[open_], "v": -1, "n": n[open_], "fp": fp[open_]})
+        rest = pd.DataFrame({"key": key, "u": vertex[open_], "v": -1})
         return pd.concat([pairs.drop_duplicates(), rest])
 
     return lambda frames: simhash.whole_buckets(frames, ["key", "one"], of)
 
 
 def _propose(buckets: DataFrame, max_bits: int, least: tuple[int, int], bucket_rows: int) -> DataFrame:
-    """(key, u, v, n, fp): the pairs (v >= 0) and the rows that are not settled (v = -1).
+    """(key, u, v): the pairs (v >= 0) and the rows that are not settled (v = -1).
 
     Each bucket is one task or, if it is large, several of a chunk each, which differ from sample to sample."""
     large = checkpoint(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bucket_rows))
@@ -172,42 +174,78 @@ def _propose(buckets: DataFrame, max_bits: int, least: tuple[int, int], bucket_r
         chunk = F.pmod(F.xxhash64("key", "vertex"), F.ceil(F.col("m") / F.lit(bucket_rows))).cast("int")
         dealt = sized.select("key", F.coalesce(chunk, F.lit(0)).alias("one"), F.col("m").isNull().alias("whole"), "vertex", "n", "fp")
     spread = dealt.repartition(partitions(buckets.sparkSession), "key", "one").sortWithinPartitions("key", "one")
-    return checkpoint(spread.mapInPandas(_first(max_bits, least), "key long, u long, v long, n int, fp long"))
+    return checkpoint(spread.mapInPandas(_first(max_bits, least), "key long, u long, v long"))
 
 
-def _rest(rows: DataFrame, max_bits: int, least: tuple[int, int]) -> DataFrame:
-    """(u, v): of rows (key, one, two, side, vertex, n, c, fp, words), all pairs in different components that may link."""
+def _joined(rows: pd.DataFrame, whole: int, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Positions of links that connect all rows of a cell that links connect and that c does not.
+
+    side is 1 and 2 for the two blocks that meet, and 3 for rows that are compared with all. Each row is compared with all
+    later ones that are in another component by then and near enough by size and whole fingerprint."""
+    p, q = least
+    n, side = rows["n"].to_numpy(), rows["side"].to_numpy()
+    label = np.unique(rows["c"].to_numpy(), return_inverse=True)[1]
+    words = np.stack(rows["words"].to_numpy()).view(np.uint64)  # of negative numbers, numpy would count the bits of the magnitude
+    known, codes = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in rows["shingles"]]), return_inverse=True)
+    start, mine, links = np.cumsum(n) - n, np.zeros(len(known), bool), []
+    for k in range(len(rows) - 1):
+        can = (label[k + 1 :] != label[k]) & (side[k + 1 :] | side[k] == 3) & (q * np.minimum(n[k + 1 :], n[k]) >= p * np.maximum(n[k + 1 :], n[k]))
+        on = np.flatnonzero(can) + k + 1
+        on = on[np.bitwise_count(words[on] ^ words[k]).sum(axis=1, dtype=np.int64) <= whole]
+        own = codes[start[k] : start[k] + n[k]]
+        mine[own] = True
+        for part in np.split(on, np.flatnonzero(np.diff(np.cumsum(n[on]) // _COUNTED_AT_ONCE, prepend=0))):
+            part = part[label[part] != label[k]]
+            if not len(part):
+                continue
+            many = n[part]
+            lead = np.cumsum(many) - many
+            at = np.repeat(start[part] - lead, many) + np.arange(many.sum())
+            both = np.add.reduceat(mine[codes[at]], lead, dtype=np.int64)
+            for j in part[(p + q) * both >= p * (many + n[k])]:
+                if label[j] != label[k]:
+                    links.append((k, j))
+                    label[label == label[j]] = label[k]
+        mine[own] = False
+    return links
+
+
+def _rest(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(u, v): of rows (key, one, two, side, vertex, n, c, words, shingles), links that connect what links connect in each cell."""
     whole = radius(64 * WORDS, least, WHOLE_WITHIN)
 
     def of(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
-        rows, index = simhash.sorted_forest(rows, first)
-        a, b = _pairs_within(rows, index, max_bits, least)
-        if len(a):
-            words = np.stack(rows["words"].to_numpy()).view(np.uint64)  # of negative numbers, numpy would count the bits of the magnitude
-            off = sum(np.bitwise_count(words[a, k] ^ words[b, k]).astype(np.int64) for k in range(WORDS))
-            a, b = a[off <= whole], b[off <= whole]
-        vertex = rows["vertex"].to_numpy()
-        return pd.DataFrame({"u": np.maximum(vertex[a], vertex[b]), "v": np.minimum(vertex[a], vertex[b])}).drop_duplicates()
+        vertex, found = rows["vertex"].to_numpy(), [np.empty((0, 2), np.int64)]
+        for start, stop in zip(first, np.r_[first[1:], len(rows)]):
+            links = _joined(rows.iloc[start:stop], whole, least)
+            found.append(vertex[start + np.array(links, np.int64).reshape(-1, 2)])
+        u, v = np.concatenate(found).T
+        return pd.DataFrame({"u": u, "v": v})
 
     by = ["key", "one", "two"]
     spread = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
-    return spread.mapInPandas(lambda frames: simhash.whole_buckets(frames, by, of), "u long, v long").distinct()
+    return spread.mapInPandas(lambda frames: simhash.whole_buckets(frames, by, of), "u long, v long")
 
 
-def _remaining(buckets: DataFrame, found: DataFrame, bucket_rows: int) -> DataFrame:
-    """Buckets with several components, dealt out so that any two rows of different components meet.
+def _remaining(groups: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(key, one, two, side, vertex, c): rows (key, vertex) of groups with several components, dealt out to cells so that any
+    two rows of one group and of different components meet.
 
-    In a large bucket the rows of its largest component are compared with the others only, not with each other."""
-    now = buckets.join(dealt_anew(found, "vertex"), "vertex", "left").withColumn("c", F.coalesce("component", "vertex")).drop("component")
+    Groups with the same largest component (of equal ones the one of the largest number) become one under its name, so the
+    groups that the same texts form in many samples are dealt out once. Where that has more than `block` texts, those of the
+    largest component are compared with the others only, not with each other."""
+    now = groups.join(dealt_anew(found, "vertex"), "vertex", "left").select("key", "vertex", F.coalesce("component", "vertex").alias("c"))
     now = checkpoint(now)
     each = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    sizes = each.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    sizes = sizes.where("parts > 1").select("key", "m", F.col("top.m").alias("tops"), F.col("top.c").alias("top"))
-    rows = now.join(dealt_anew(sizes, "key"), "key")
-    large = F.col("m") > bucket_rows
-    chunks = lambda m: F.greatest(F.lit(1), F.ceil(m / F.lit(bucket_rows))).cast("int")
+    tops = each.groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = now.join(dealt_anew(tops, "key"), "key").select(F.col("top").alias("key"), "vertex", "c").distinct()
+    rows = checkpoint(rows)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("c") == F.col("key")).alias("tops"))
+    rows = rows.join(dealt_anew(sizes, "key"), "key")
+    large = F.col("m") > block
+    chunks = lambda m: F.greatest(F.lit(1), F.ceil(m / F.lit(block))).cast("int")
     rows = rows.select(
-        "key", "vertex", "n", "c", "fp", (large & (F.col("c") == F.col("top"))).alias("inside"),
+        "key", "vertex", "c", (large & (F.col("c") == F.col("key"))).alias("inside"),
         F.when(large, chunks(F.col("tops"))).otherwise(0).alias("inner"),
         F.when(large, chunks(F.col("m") - F.col("tops"))).otherwise(1).alias("outer"),
     )
@@ -220,7 +258,7 @@ def _remaining(buckets: DataFrame, found: DataFrame, bucket_rows: int) -> DataFr
     with_inner = F.transform(inner, lambda k: task(own, -k, F.lit(1)))
     with_outer = F.transform(outer, lambda k: task(k - 1, -1 - own, F.lit(2)))
     tasks = F.when(F.col("inside"), with_outer).otherwise(F.concat(others, with_inner))
-    return rows.select("key", F.explode(tasks).alias("t"), "vertex", "n", "c", "fp").select("key", "t.*", "vertex", "n", "c", "fp")
+    return rows.select("key", F.explode(tasks).alias("t"), "vertex", "c").select("key", "t.*", "vertex", "c")
 
 
 def _near(pairs: DataFrame, vertices: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -291,25 +329,28 @@ def simhash_similar(
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).tobytes() for t in texts])
 
-    def links(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.col("u").alias("vertex")).unionByName(pairs.select(F.col("v").alias("vertex"))).distinct()
+    def sets_of(met: DataFrame) -> tuple[DataFrame, int]:
+        """(vertex, shingles) of the texts of some vertices, and how many there are."""
         texts = docs.select(text_sha(text_col).alias("sha"), F.col(text_col).alias("text"))
-        met = checkpoint(met.join(vertices.select("vertex", "sha"), "vertex"))
-        # Few texts in pairs: their digests go to the texts. Otherwise the texts are shuffled.
+        met = checkpoint(met.distinct().join(vertices.select("vertex", "sha"), "vertex"))
+        # Few texts: their digests go to the texts. Otherwise the texts are shuffled.
         n = met.count()
         own = texts.join(F.broadcast(met) if n <= BROADCAST_ROWS else met, "sha")
-        sets = checkpoint(own.groupBy("vertex").agg(F.min("text").alias("text")).select("vertex", shingles("text").alias("shingles")))
-        return checkpoint(_linked(pairs, sets, max(1, ceil(n / BLOCK_TEXTS)), least))
+        return checkpoint(own.groupBy("vertex").agg(F.min("text").alias("text")).select("vertex", shingles("text").alias("shingles"))), n
 
     proposed = _propose(buckets, max_bits, least, bucket_rows)
     tried = checkpoint(_near(proposed.where("v >= 0").select("u", "v").distinct(), vertices, least))
-    first = links(tried)
+    sets, n = sets_of(tried.select(F.col("u").alias("vertex")).unionByName(tried.select(F.col("v").alias("vertex"))))
+    first = checkpoint(_linked(tried, sets, max(1, ceil(n / BLOCK_TEXTS)), least))
     found = components(first)
-    unsettled = proposed.where("v < 0").select("key", F.col("u").alias("vertex"), "n", "fp")
-    open_rows = _remaining(unsettled, found, bucket_rows).join(vertices.select("vertex", "words"), "vertex")
-    more = checkpoint(_rest(open_rows, max_bits, least).join(tried, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        found = components(first.unionByName(links(more)))
+    groups = proposed.where("v < 0").select("key", F.col("u").alias("vertex"))
+    cells = checkpoint(_remaining(groups, found, min(bucket_rows, GROUP_BLOCK)))
+    if not cells.isEmpty():
+        sets, _ = sets_of(cells.select("vertex"))
+        described = cells.join(vertices.select("vertex", "n", "words"), "vertex").join(sets, "vertex")
+        more = checkpoint(_rest(described, least))
+        if not more.isEmpty():
+            found = components(first.unionByName(more))
 
     classes = vertices.join(found, "vertex", "left").select("digest", "rep", F.coalesce("component", "vertex").alias("c"))
     smallest = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
