@@ -49,6 +49,21 @@ def test_chunks_are_spliced_and_widened():
         assert counter.one(text) == library_count(text)
 
 
+def test_short_texts_are_counted_by_words_and_words_encoded_once(monkeypatch):
+    """Every white space and odd character at the seams of words, with a table that overflows; no word goes to the library twice."""
+    odd = [t for t in ODD if t] + [a + s + b for s in (" ", "\t", "\n", "\x0b", "\f", "\r", "\x1c", "\x85", "\u00a0", "\u2028") for a in ("a", "e", "'", "<|endoftext|>", "Σ", "\u1100") for b in ("\u0301", "s", "'s", "\u1161", "t", "<|endoftext|>")]
+    counter, whole = token_count.Counter(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    for known in (150_000, 7):
+        monkeypatch.setattr(token_count, "KNOWN_WORDS", known)
+        for text in (*odd, prose(5, 800)):
+            assert counter.one(text) == len(whole.encode(text, add_special_tokens=False).ids), text
+    counter, asked = token_count.Counter(WORD_BPE), []
+    monkeypatch.setattr(token_count, "KNOWN_WORDS", 150_000)
+    encode = counter.words.encode
+    monkeypatch.setattr(counter.words, "encode", lambda words, **kw: asked.extend(words) or encode(words, **kw))
+    assert counter.one("one two two\tone " * 500) == 2000 and sorted(asked) == ["one", "two"]
+
+
 # ---- byte BPE --------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,9 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-Short texts go to the library whole. A huge text is cut into overlapping chunks; each is encoded on its own,
+Short texts are counted as the sum of their words, runs of anything but ASCII white space: the library's normaliser
+composes nothing with white space and turns runs of it into a space, its pre-tokens hold none and look no further than
+themselves, and neither does a special token. So words count alone as they count in the text, and each different word
+goes to the library once, as far as a table of bounded size remembers it. A huge text is cut into overlapping chunks; each is encoded on its own,
 with offsets. Two neighbours are spliced at a stable common boundary: a position in the overlap where both
 encodings have a token boundary that is also a pre-token boundary, and from which on (left chunk) or up to which
 (right chunk) both have the same tokens for `PROOF` tokens each way. The tokeniser merges only inside pre-tokens,
@@ -12,6 +15,7 @@ up to the whole rest of the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +24,30 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 PROOF = 4
-BATCH_CHARS = 1 << 18
+#: Words that are remembered, and the bytes of the longest of them.
+KNOWN_WORDS = 600_000
+KNOWN_LENGTH = 64
+
+
+class _Words(dict):
+    """Word (UTF-8) to its number of tokens, as far as known; others are encoded when they are asked for.
+
+    Known words are kept in two generations, as those of `byte_bpe.Encoder`."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.encode, self.old = tokenizer.encode_batch_fast, {}
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.old.get(word)
+        if n is None:
+            n = len(self.encode([word.decode("utf-8")], add_special_tokens=False)[0])
+        if len(word) <= KNOWN_LENGTH:
+            if len(self) >= KNOWN_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = n
+        return n
 
 
 class Counter:
@@ -36,10 +63,11 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
+        self.words = _Words(self.tokenizer)
 
-    def many(self, texts: list[str]) -> list[int]:
-        """Counts of short texts."""
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def short(self, text: str) -> int:
+        """The count of a short text."""
+        return sum(map(self.words.__getitem__, text.encode("utf-8").split()))
 
     def _encode(self, text: str, start: int, stop: int) -> tuple[list[int], list[int], list[int]]:
         """Ids, and where each token starts and ends in the whole text."""
@@ -77,7 +105,7 @@ class Counter:
     def one(self, text: str) -> int:
         """The count of a text of any length."""
         if len(text) <= self.chunk:
-            return self.many([text])[0]
+            return self.short(text)
         start, stop = 0, self.chunk
         left = self._encode(text, start, stop)
         total = 0
@@ -102,6 +130,12 @@ class Counter:
         return total + len(left[0])
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str, chunk: int, overlap: int) -> Counter:
+    """The counter of this worker process, which lives on from task to task."""
+    return Counter(path, chunk, overlap)
+
+
 def count_tokens(
     docs: DataFrame,
     tokenizer_path: str,
@@ -120,28 +154,9 @@ def count_tokens(
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path, chunk, overlap)
+        counter = _counter(tokenizer_path, chunk, overlap)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [0] * len(texts)
-            wait: list[int] = []
-            size = 0
-
-            def flush(wait=wait, counts=counts, texts=texts):
-                for k, n in zip(wait, counter.many([texts[k] for k in wait])):
-                    counts[k] = n
-                wait.clear()
-
-            for k, t in enumerate(texts):
-                if len(t) > counter.chunk:
-                    counts[k] = counter.one(t)
-                elif t:
-                    wait.append(k)
-                    size += len(t)
-                    if size > BATCH_CHARS:
-                        flush()
-                        size = 0
-            flush()
+            counts = [counter.one(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
