@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.util import give_back, tables_of
+
 KNOWN_WORDS = 150_000
 KNOWN_LENGTH = 64
 SHORT = 48
@@ -188,10 +190,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.find(text))) if text else b""
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of this worker process, which lives on from task to task."""
-    return Encoder(path, pattern)
+    """The encoder of this worker process, which lives on from task to task, until another operator comes."""
+    return tables_of("byte_bpe", (path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -222,7 +223,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     yield made(batch, first, out)
                     first, out, size = r + 1, [], 0
             yield made(batch, first, out)
-            pa.default_memory_pool().release_unused()  # the worker stays; what it doesn't need goes back
+            batch = out = text = None
+            give_back()
 
     schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -19,12 +19,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.util import checkpoint
+from trafficlens.llm.util import checkpoint, give_back, given_back, tables_of
 
 MARK = "▁"
 #: Labelled rows that the model is fitted on, for each language.
@@ -165,7 +164,7 @@ class Vocabulary:
 
 class _Known:
     """log P of the words a worker has met, in two generations: when the young one is full it becomes the old one, and
-    words that are still in use come back from there. Lives on from task to task."""
+    words that are still in use come back from there. Lives on from task to task, until another operator comes."""
 
     def __init__(self, model: tuple[list[str], np.ndarray]):
         self.model, self.vocabulary, self.probs = model, Vocabulary(model[0]), model[1]
@@ -193,13 +192,8 @@ class _Known:
         self.at.update(zip(back, range(first, first + len(back))))
 
 
-_latest: list[_Known] = []
-
-
 def _known(model: tuple[list[str], np.ndarray]) -> _Known:
-    if not _latest or _latest[0].model is not model:
-        _latest[:] = [_Known(model)]
-    return _latest[0]
+    return tables_of("language_id", id(model), lambda: _Known(model))  # which holds the model, so no other has its id
 
 
 def parts_of(words: list[str]) -> Iterator[list[str]]:
@@ -241,7 +235,7 @@ def word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
                     yield from out()
         yield from out()
 
-    each = rows.mapInPandas(run, "k long, word string, n long").groupBy("word")
+    each = rows.mapInPandas(lambda frames: given_back(run(frames)), "k long, word string, n long").groupBy("word")
     return each.agg(F.array(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)) for k in range(len(langs))]).alias("n"))
 
 
@@ -263,7 +257,7 @@ def expectation(counts: DataFrame, vocabulary: list[str], probs: np.ndarray) ->
 
     # Sums of doubles depend on their order, by less than is kept here.
     total = F.sum(F.col("v").cast("decimal(30, 6)")).cast("double")
-    rows = counts.mapInPandas(run, "k int, x int, v double").groupBy("k", "x").agg(total.alias("v")).toPandas()
+    rows = counts.mapInPandas(lambda frames: given_back(run(frames)), "k int, x int, v double").groupBy("k", "x").agg(total.alias("v")).toPandas()
     out = np.zeros_like(probs)
     out[rows["k"], rows["x"]] = rows["v"]
     return out
@@ -306,8 +300,15 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], probs: np.ndar
     names = list(langs)
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _known(shared.value)
+        for texts in batches:
+            out = judged(texts, known)
+            del texts  # else it is there beside the next
+            yield out
+        give_back()
+
+    def judged(texts: pd.Series, known: _Known) -> pd.DataFrame:
         found, scores = [], []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             some = [words_of(t) if names else [] for t in texts.iloc[start : start + TEXTS_AT_ONCE]]
@@ -322,7 +323,6 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], probs: np.ndar
                 best = int(total.argmax())
                 found.append(names[best])
                 scores.append(float(odds[best] / odds.sum()))
-        pa.default_memory_pool().release_unused()  # the worker stays; what it doesn't need goes back
         return pd.DataFrame({"lang_pred": found, "score": scores})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -18,6 +18,7 @@ components, joins them as it goes, and returns links that connect what belongs t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 from math import acos, ceil, comb, log, log2, pi
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from trafficlens.llm import simhash
 from trafficlens.llm.components import components
 from trafficlens.llm.simhash import BUCKET_ROWS, SEED, _forest, hashed_again, majorities, ones, shingle_hashes, words_of
-from trafficlens.llm.util import checkpoint, dealt_anew, partitions, with_row_id
+from trafficlens.llm.util import checkpoint, dealt_anew, given_back, partitions, with_row_id
 
 SHINGLE_WORDS = 5
 #: The least similarity of a link, as a fraction, so that a pair right on it is judged without rounding.
@@ -100,7 +101,10 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     """(id, sha, digest, n, words) of each row: SHA-256 of the text; digest, size and fingerprint of its shingle set."""
 
     @F.pandas_udf("digest binary, n long, words array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from given_back(map(described, batches))
+
+    def described(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             s = shingle_set(t, width)
@@ -159,7 +163,7 @@ def _first(max_bits: int, least: tuple[int, int]):
         rest = pd.DataFrame({"key": key, "u": vertex[open_], "v": -1})
         return pd.concat([pairs.drop_duplicates(), rest])
 
-    return lambda frames: simhash.whole_buckets(frames, ["key", "one"], of)
+    return lambda frames: given_back(simhash.whole_buckets(frames, ["key", "one"], of))
 
 
 def _propose(buckets: DataFrame, max_bits: int, least: tuple[int, int], bucket_rows: int) -> DataFrame:
@@ -224,7 +228,7 @@ def _rest(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
 
     by = ["key", "one", "two"]
     spread = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
-    return spread.mapInPandas(lambda frames: simhash.whole_buckets(frames, by, of), "u long, v long")
+    return spread.mapInPandas(lambda frames: given_back(simhash.whole_buckets(frames, by, of)), "u long, v long")
 
 
 def _remaining(groups: DataFrame, found: DataFrame, block: int) -> DataFrame:
@@ -294,7 +298,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, blocks: int, least: tuple[int, in
 
     rows = brought.unionByName(cells.withColumn("shingles", F.lit(None).cast("binary")))
     spread = rows.repartition(partitions(rows.sparkSession), "one", "two").sortWithinPartitions("one", "two")
-    return spread.mapInPandas(lambda frames: simhash.whole_buckets(frames, ["one", "two"], of), "u long, v long")
+    return spread.mapInPandas(lambda frames: given_back(simhash.whole_buckets(frames, ["one", "two"], of)), "u long, v long")
 
 
 def simhash_similar(
@@ -326,8 +330,8 @@ def simhash_similar(
     buckets = vertices.where("n > 0").select("vertex", "n", F.explode(F.array(*sample)).alias("s")).select("s.key", "vertex", "n", "s.fp")
 
     @F.pandas_udf("binary")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from given_back(pd.Series([shingle_set(t, width).tobytes() for t in texts]) for texts in batches)
 
     def sets_of(met: DataFrame) -> tuple[DataFrame, int]:
         """(vertex, shingles) of the texts of some vertices, and how many there are."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,41 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_tables: dict[str, tuple[object, object]] = {}
+
+
+def tables_of(operator: str, of: object, make: Callable):
+    """What a Python worker keeps from task to task, for one operator and one `of` (a model, a path): made where it isn't there.
+
+    A worker outlives the stage it was started for. So only the latest operator's tables stay: whoever comes next drops
+    them, with `drop_tables` if it needs none itself.
+    """
+    if operator not in _tables or _tables[operator][0] != of:
+        _tables.clear()
+        _tables[operator] = of, make()
+    return _tables[operator][1]
+
+
+def drop_tables() -> None:
+    _tables.clear()
+
+
+def give_back() -> None:
+    """Return to the system what this worker holds and doesn't use: Arrow's pool, and the pages that the C library keeps when
+    arrays and strings are freed (over 50 MB after a batch of texts), which no later stage of the JVM could take."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def given_back(out: Iterator) -> Iterator:
+    """The results of a task that needs no tables: those of others go before it, and its own memory after it."""
+    drop_tables()
+    yield from out
+    give_back()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
