@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trafficlens.llm import components, embedding_dedup, exact_dedup, simhash
 
@@ -191,6 +192,75 @@ def test_embeddings_in_double_precision(spark):
     assert got == {1: 1, 2: 1, 3: 2}
 
 
+def linked(vecs, cosine=0.9):
+    """By row number: links and the smallest row reachable, of all pairs."""
+    unit = np.array(vecs, np.float64) / np.linalg.norm(np.array(vecs, np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= cosine
+    np.fill_diagonal(near, False)
+    return near.sum(1).tolist(), closure(len(vecs), np.argwhere(np.triu(near)).tolist())
+
+
+def rows_of(spark, vecs):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+
+
+def found(df, **options):
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(df, **options).collect())
+    return [r[1] for r in got], [r[2] for r in got]
+
+
+def test_embeddings_are_shuffled_in_proportion_to_the_input(spark):
+    """Random directions: no two blocks lie far apart, so every block meets all 20 others."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    vecs = np.random.default_rng(4).normal(size=(4000, 64)).astype(np.float32)
+    df = rows_of(spark, vecs.tolist())
+    before = written()
+    assert found(df, block=200)[0] == [0] * 4000
+    assert sum(n for k, n in written().items() if k not in before) < 4 * vecs.nbytes
+
+
+def test_embeddings_at_the_threshold_and_in_large_groups(spark):
+    """64 dimensions, compared on the leading ones first: pairs a little above and below the threshold, differing in any of
+    them, and a group whose links fill whole leaves."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(700, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    assert embedding_dedup.sifting(np.full(64, 1 / 64), 0.2**0.5) < 40 and embedding_dedup.sifting(np.full(4, 1 / 4), 0.2**0.5) == 4
+    away = r.normal(size=base.shape) * (r.random(base.shape) < r.choice([0.03, 1], len(base))[:, None]) + 1e-9 * r.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    angle = np.arccos(0.9) + r.choice([-1e-5, 1e-5, -0.02, 0.02], len(base))
+    partners = base * np.cos(angle)[:, None] + away * np.sin(angle)[:, None]
+    group = base[:1] + r.normal(size=(600, 64)) * 0.01
+    vecs = np.concatenate([base, partners, group]).astype(np.float32)[r.permutation(2000)].tolist()
+    assert found(rows_of(spark, vecs), block=500) == linked(vecs)
+    assert found(rows_of(spark, vecs[:900]), cosine=0.3) == linked(vecs[:900], 0.3)
+
+
+def test_embeddings_whose_hashes_are_the_same(spark, monkeypatch):
+    """The first names stand for several vectors, of one size and of two; zeros of either sign are one value."""
+    seeds = []
+    name = embedding_dedup._name
+
+    def clashing(seed):
+        seeds.append(seed)
+        return name(seed) if seed else F.size("vec").cast("long")
+
+    monkeypatch.setattr(embedding_dedup, "_name", clashing)
+    vecs = [[0.0, 1.0], [-0.0, 1.0], [1.0, 0.0], [1.0, 0.1], [-1.0, 0.0], [0.0, 1.0]]
+    assert found(rows_of(spark, vecs)) == ([2, 2, 1, 1, 0, 2], [0, 0, 2, 2, 4, 0])
+    assert set(seeds) == {0, 1}
+    monkeypatch.setattr(embedding_dedup, "_name", lambda seed: name(seed) if seed else F.lit(7).cast("long"))
+    assert found(rows_of(spark, [*vecs, [1.0], [3.0], [1.0, 0.0, 0.0]])) == ([2, 2, 1, 1, 0, 2, 1, 1, 0], [0, 0, 2, 2, 4, 0, 6, 6, 8])
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.embedding_dedup(empty).count() == 0
