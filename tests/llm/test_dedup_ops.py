@@ -244,6 +244,16 @@ def test_embeddings_at_the_threshold_and_in_large_groups(spark):
     assert found(rows_of(spark, vecs[:900]), cosine=0.3) == linked(vecs[:900], 0.3)
 
 
+def test_spanning_links_connect_what_all_links_connect():
+    r = np.random.default_rng(9)
+    known = np.array([[1, 0, 0], [0, 1, 1], [1, 0, 1]], bool)  # the first links of its rows and columns leave two parts
+    for near in (known, np.zeros((4, 3), bool), np.ones((5, 8), bool), *[r.random((12, 9)) < p for p in (0.05, 0.15, 0.3) for _ in range(20)]):
+        n, m = near.shape
+        few = list(zip(*embedding_dedup._spanning(near)))
+        assert all(near[a, b] for a, b in few) and (len(few) == n + m or not near.all())
+        assert closure(n + m, [(a, n + b) for a, b in few]) == closure(n + m, [(a, n + b) for a, b in np.argwhere(near)])
+
+
 def test_embeddings_whose_hashes_are_the_same(spark, monkeypatch):
     """The first names stand for several vectors, of one size and of two; zeros of either sign are one value."""
     seeds = []

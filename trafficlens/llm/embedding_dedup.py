@@ -19,7 +19,6 @@ blocks returns counts of links and a spanning forest of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -38,9 +37,11 @@ TASKS = 20_000  # of a join, about
 LEAF = 256
 SIFTED = 1e-6  # of all pairs: less than one of a pair of leaves
 SLACK = 1e-9
-SINGLE = 1e-4  # more than single precision can be wrong by
+ROUNDING = 1e-5  # more than squared distances on the coordinates can be wrong by
+SINGLE = 5e-7  # and more than that, for each coordinate, in single precision
 EDGES = 1 << 20
 MAX_SIZES = 16
+SEEDS = 64
 
 
 def _valid(column: str):
@@ -145,7 +146,7 @@ def block_pairs(blocks: DataFrame, n: int, eps: float) -> DataFrame:
     # Which of the two orders it is changes from pair to pair: all tasks get as much.
     once = F.when(F.xxhash64(F.least(a, b), F.greatest(a, b)) % 2 == 0, a <= b).otherwise(a >= b)
     groups = side("a").coalesce(max(1, min(n, TASKS // n)))
-    return groups.hint("shuffle_replicate_nl").join(side("b"), once & (square <= F.lit(eps * eps + SINGLE)))
+    return groups.hint("shuffle_replicate_nl").join(side("b"), once & (square <= F.lit(eps * eps + ROUNDING)))
 
 
 def _leaves(p: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +155,16 @@ def _leaves(p: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links that a matrix holds, as many as connect what all of them connect: each row's first, each column's first,
+    and those between what is still apart."""
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    r, c = np.r_[rows, near[:, columns].argmax(axis=0)], np.r_[near[rows].argmax(axis=1), columns]
+    label = _forest(sum(near.shape), r, len(near) + c)
+    more = np.nonzero(near & (label[: len(near), None] != label[len(near) :]))
+    return np.r_[r, more[0]], np.r_[c, more[1]]
+
+
 def _joined(a: tuple, b: tuple, itself: bool, cosine: float, limit: float, leaf: int):
     """Links between two blocks: weighted counts for both sides, and edges (positions) that connect what links.
     A side: unit vectors, counts, leaves, and the two factors of what is compared first."""
@@ -162,16 +173,15 @@ def _joined(a: tuple, b: tuple, itself: bool, cosine: float, limit: float, leaf:
     start = 0 if itself else len(x)  # a block with itself has one numbering
     edges, n_edges, may, n_may = [np.empty((2, 0), np.int64)], 0, [], 0
     at_once = max(1, BLOCK_BYTES // (8 * x.shape[1]))
+    least = np.float32(cosine - 1 - ROUNDING - SINGLE * left.shape[1])
 
     def forest(r: np.ndarray, c: np.ndarray) -> np.ndarray:
         label = _forest(start + len(y), r, c)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return np.stack([moved, label[moved]])
 
-    def link(r: np.ndarray, c: np.ndarray) -> None:
+    def connect(r: np.ndarray, c: np.ndarray) -> None:
         nonlocal edges, n_edges
-        np.add.at(na, r, cb[c])
-        np.add.at(nb, c, ca[r])
         edges.append(np.stack([r, start + c]))
         n_edges += len(r)
         if n_edges > EDGES:
@@ -182,10 +192,11 @@ def _joined(a: tuple, b: tuple, itself: bool, cosine: float, limit: float, leaf:
         nonlocal may, n_may
         if may:
             r, c = np.concatenate(may, axis=1)
-            for i in range(0, len(r), at_once):
-                ri, ci = r[i : i + at_once], c[i : i + at_once]
-                on = np.einsum("ij,ij->i", x[ri], y[ci]) >= cosine
-                link(ri[on], ci[on])
+            on = np.concatenate([np.einsum("ij,ij->i", x[r[i : i + at_once]], y[c[i : i + at_once]]) for i in range(0, len(r), at_once)] or [[]])
+            r, c = r[on >= cosine], c[on >= cosine]
+            np.add.at(na, r, cb[c])
+            np.add.at(nb, c, ca[r])
+            connect(r, c)
         may, n_may = [], 0
 
     gap = np.maximum(boxes_a[0][:, None] - boxes_b[1], boxes_b[0] - boxes_a[1][:, None])
@@ -193,21 +204,23 @@ def _joined(a: tuple, b: tuple, itself: bool, cosine: float, limit: float, leaf:
     for i, j in np.argwhere(np.einsum("ijk,ijk->ij", gap, gap) <= limit).tolist():
         if itself and j < i:
             continue
-        a0, b0 = i * leaf, j * leaf
-        first = left[a0 : a0 + leaf] @ right[b0 : b0 + leaf].T
-        if first.max() < cosine - 1 - SINGLE:
-            continue
-        rows = np.flatnonzero(first.max(axis=1) >= cosine - 1 - SINGLE)
-        r, c = np.nonzero(first[rows] >= cosine - 1 - SINGLE)
-        r = rows[r]
-        many = len(r) * 32 > first.size
-        if many:
-            r, c = np.nonzero(x[a0 : a0 + leaf] @ y[b0 : b0 + leaf].T >= cosine)
-        if itself and i == j:
-            r, c = r[r < c], c[r < c]
-        if many:
-            link(a0 + r, b0 + c)
-        else:
+        a0, a1, b0, b1 = i * leaf, (i + 1) * leaf, j * leaf, (j + 1) * leaf
+        first = left[a0:a1] @ right[b0:b1].T >= least
+        n = np.count_nonzero(first)
+        if n * 32 > first.size:
+            near = x[a0:a1] @ y[b0:b1].T >= cosine
+            if itself and i == j:
+                near = np.triu(near, 1)
+            na[a0:a1] += near @ cb[b0:b1]
+            nb[b0:b1] += ca[a0:a1] @ near
+            r, c = _spanning(near)
+            connect(a0 + r, b0 + c)
+        elif n:
+            rows = np.flatnonzero(first.any(axis=1))
+            r, c = np.nonzero(first[rows])
+            r = rows[r]
+            if itself and i == j:
+                r, c = r[r < c], c[r < c]
             may.append(np.stack([a0 + r, b0 + c]))
             n_may += len(r)
             if n_may > at_once:
@@ -233,7 +246,7 @@ def _links(size: int, cosine: float, eps: float, mean: np.ndarray, axes: np.ndar
                 sides = {k: sides[k] if k in sides else prepared(*v) for k, v in new.items()}
                 (ua, a), (ub, b) = sides[r.block_a], sides[r.block_b]
                 itself = r.block_a == r.block_b
-                na, nb, (i, j) = _joined(a, b, itself, cosine, eps * eps + SINGLE, leaf)
+                na, nb, (i, j) = _joined(a, b, itself, cosine, eps * eps + ROUNDING, leaf)
                 names = ua if itself else np.r_[ua, ub]
                 n = na + nb if itself else np.r_[na, nb]
                 some = n > 0
@@ -292,7 +305,7 @@ def embedding_dedup(
     """
     flagged = vectors.select(F.col(id_col).alias("__id"), F.col(vector_col).alias("vec"), _valid(vector_col).alias("__ok"))
     good = flagged.where("__ok")
-    for seed in count():
+    for seed in range(SEEDS):
         size = F.size("vec")
         named = good.groupBy(_name(seed).alias("name")).agg(
             F.min("__id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(size).alias("size"), F.max(size).alias("largest")
@@ -311,6 +324,8 @@ def embedding_dedup(
         parts = [_OneSize(good, distinct, k, cosine, block) for k in sorted(sizes)]
         if sum(p.vectors for p in parts) == named.count():
             break
+    else:
+        raise RuntimeError("the table's vectors change from one reading to the next")
     found = parts[0].links()
     for p in parts[1:]:
         found = found.unionByName(p.links())
