@@ -241,7 +241,7 @@ def test_embeddings_at_the_threshold_and_in_large_groups(spark):
     group = base[:1] + r.normal(size=(600, 64)) * 0.01
     vecs = np.concatenate([base, partners, group]).astype(np.float32)[r.permutation(2000)].tolist()
     assert found(rows_of(spark, vecs), block=500) == linked(vecs)
-    assert found(rows_of(spark, vecs[:900]), cosine=0.3) == linked(vecs[:900], 0.3)
+    assert found(rows_of(spark, vecs[:900]), cosine=0.3, block=100) == linked(vecs[:900], 0.3)
 
 
 def test_spanning_links_connect_what_all_links_connect():

@@ -33,7 +33,7 @@ LEADING = 8  # coordinates by whose cells vectors are sorted, 7 bits each
 BLOCK = 32_768
 BLOCK_BYTES = 16 << 20  # of a block in double precision, at most
 LEAST = 2048  # vectors for which another block is worth its tasks
-TASKS = 20_000  # of a join, about
+TASKS = 4  # of a join for each partition of a shuffle, about; there are as many as blocks at least
 LEAF = 256
 SIFTED = 1e-6  # of all pairs: less than one of a pair of leaves
 SLACK = 1e-9
@@ -145,7 +145,7 @@ def block_pairs(blocks: DataFrame, n: int, eps: float) -> DataFrame:
     a, b = F.col("block_a"), F.col("block_b")
     # Which of the two orders it is changes from pair to pair: all tasks get as much.
     once = F.when(F.xxhash64(F.least(a, b), F.greatest(a, b)) % 2 == 0, a <= b).otherwise(a >= b)
-    groups = side("a").coalesce(max(1, min(n, TASKS // n)))
+    groups = side("a").coalesce(min(n, -(-TASKS * partitions(blocks.sparkSession) // n)))
     return groups.hint("shuffle_replicate_nl").join(side("b"), once & (square <= F.lit(eps * eps + ROUNDING)))
 
 
